@@ -6,8 +6,8 @@ other is ever divided. The rests and the smaller items are dealt, by a hash, int
 blocks of a bounded token volume. In each block the number of windows starts at
 the least that could hold it; Karmarkar-Karp multiway differencing merges partial
 partitions with opposing imbalances into that many near-equal windows; while some
-window exceeds the capacity and no move of single items into the room of other
-windows mends it, the number rises. Unit of work: a block.
+window exceeds the capacity and refilling it together with the roomiest others
+doesn't mend it, the number rises. Unit of work: a block.
 
 A block wastes at most about one window, so with ``windows`` windows a block the
 loss to blocking is of the order of 1 / windows, whatever the size of the data.
@@ -88,35 +88,39 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def repair(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int) -> bool:
-    """Move items out of windows above the capacity into the tightest room elsewhere, in place; True if all fit.
+    """Refill the windows above the capacity together with the roomiest others, in place; True if all then fit.
 
-    From each window above the capacity go its smallest items, until it holds;
-    they are placed from large to small where they leave the least room.
+    The items of a growing set of windows (those above the capacity, then the
+    ones with the most room) are placed anew, from large to small, each where it
+    leaves the least room. Windows outside the set stay as differencing made them.
     """
     load = np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
-    over = np.flatnonzero(load > capacity)
-    if not len(over):
+    over = int((load > capacity).sum())
+    if not over:
         return True
-    moved: list[int] = []
-    by_window = np.argsort(window, kind="stable")
-    bounds = np.searchsorted(window[by_window], np.arange(k + 1))
-    for w in over:
-        items = by_window[bounds[w] : bounds[w + 1]]
-        items = items[np.argsort(sizes[items], kind="stable")]
-        excess = load[w] - capacity
-        single = items[sizes[items] >= excess]  # one item that is just large enough leaves most behind
-        out = [single[0]] if len(single) else list(items[: int(np.searchsorted(np.cumsum(sizes[items]), excess)) + 1])
-        moved.extend(out)
-        load[w] -= int(sizes[out].sum())
-    rooms = sorted((int(capacity - load[w]), int(w)) for w in range(k))
-    for i in sorted(moved, key=lambda x: (-int(sizes[x]), x)):
-        at = bisect_left(rooms, (int(sizes[i]), -1))
-        if at == len(rooms):
+    fullest = np.argsort(-load, kind="stable")
+    take = 2 * over
+    while True:
+        chosen = np.concatenate([fullest[:over], fullest[over:][::-1][: take - over]])
+        inside = np.zeros(k, dtype=bool)
+        inside[chosen] = True
+        pool = np.flatnonzero(inside[window])
+        rooms = [(capacity, int(w)) for w in sorted(chosen)]
+        placed: list[tuple[int, int]] = []
+        for i in pool[np.argsort(-sizes[pool], kind="stable")]:
+            at = bisect_left(rooms, (int(sizes[i]), -1))
+            if at == len(rooms):
+                break
+            room, w = rooms.pop(at)
+            placed.append((int(i), w))
+            insort(rooms, (room - int(sizes[i]), w))
+        else:
+            for i, w in placed:
+                window[i] = w
+            return True
+        if take >= k:
             return False
-        room, w = rooms.pop(at)
-        window[i] = w
-        insort(rooms, (room - int(sizes[i]), w))
-    return True
+        take = min(k, 2 * take)
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -128,7 +132,7 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
         window = differencing(sizes, k)
         if repair(sizes, window, k, capacity):
             return window
-        k = min(len(sizes), k + max(1, k // 256))
+        k = min(len(sizes), k + 1)
 
 
 def _pack_block(block: pd.DataFrame) -> pd.DataFrame:
