@@ -22,10 +22,11 @@ by a parity bitmap of the whole set (each differing run flips one bit, so the
 bitmaps can't differ in more bits than the sets differ in runs: no pair is lost),
 and the few that remain by the exact sets.
 
-Equal sets are collapsed to one representative before the join and spread over
-their members at the end; a text that a third of the rows share costs no more
-than a single one. One (cell, slice) is a unit of work that holds ids, bitmaps
-and small sets only; ``slices`` divides cells further as data grows.
+Equal sets are one record of the join, known by the hash of the set, and spread
+over their members at the end; a text that a third of the rows share costs no
+more than a single one from each batch. A unit of work holds keys, bitmaps and
+small sets only, and enumerates a bounded number of signatures at a time;
+``slices`` divides cells further as data grows.
 
 Defined results: records with a null or blank abstract or with fewer than
 ``least_words`` words take no part; repeated rows of one id count once; an id
@@ -49,6 +50,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.session import materialize
+
 _WORD = re.compile(r"[^\W_]+")
 BITS = 256
 #: Share of the runs that local sets have on average: cells are chosen for about this many runs a cell.
@@ -72,7 +75,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_runs(text: str, words: int, least_words: int) -> np.ndarray | None:
-    """The sorted distinct 64-bit hashes of the runs of a text; None if it takes no part."""
+    """The sorted distinct 48-bit hashes of the runs of a text; None if it takes no part."""
     found = _WORD.findall(text.lower())
     if len(found) < max(least_words, words):
         return None
@@ -80,18 +83,45 @@ def word_runs(text: str, words: int, least_words: int) -> np.ndarray | None:
     run = h[: len(h) - words + 1].copy()
     for k in range(1, words):
         run = _mix(run) + h[k : len(h) - words + 1 + k]
-    return np.unique(_mix(run))
+    return np.unique(_mix(run) >> np.uint64(16))
+
+
+def to_bytes(values: np.ndarray) -> np.ndarray:
+    """48-bit integers as rows of six bytes."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def from_bytes(raw: bytes | memoryview) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel().astype(np.uint64)
+
+
+def binary_column(column: pa.ChunkedArray | pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all values of a binary column of 6-byte integers, how many each row has), without a Python object a row."""
+    if isinstance(column, pa.ChunkedArray):
+        parts = [binary_column(c) for c in column.chunks]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    offset = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = memoryview(data)[offset[0] : offset[-1]] if data is not None else b""
+    return from_bytes(raw), np.diff(offset) // 6
+
+
+RUN_SETS = T.StructType([T.StructField("key", T.LongType()), T.StructField("runs", T.BinaryType())])
 
 
 def _run_sets(words: int, least_words: int):
-    def of(titles: pd.Series, abstracts: pd.Series) -> pd.Series:
-        out = []
+    def of(titles: pd.Series, abstracts: pd.Series) -> pd.DataFrame:
+        keys, sets = [], []
         for title, abstract in zip(titles, abstracts, strict=True):
             runs = None if abstract is None or not abstract.strip() else word_runs((title or "") + " " + abstract, words, least_words)
-            out.append(None if runs is None else runs.tobytes())
-        return pd.Series(out, dtype=object)
+            raw = None if runs is None else to_bytes(runs).tobytes()
+            keys.append(None if raw is None else int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(raw)))))
+            sets.append(raw)
+        return pd.DataFrame({"key": pd.array(keys, dtype="Int64"), "runs": pd.Series(sets, dtype=object)})
 
-    return F.pandas_udf(of, T.BinaryType())
+    return F.pandas_udf(of, RUN_SETS)
 
 
 # --- signatures -----------------------------------------------------------------------------------------------
@@ -160,46 +190,52 @@ def parity_bitmap(owner: np.ndarray, runs: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), axis=1).view(np.uint64)
 
 
-ENTRY = pa.schema([
-    ("part", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("bitmap", pa.binary()), ("sigs", pa.binary()),
-])
-_ENTRY_DDL = "part int, id bigint, n int, bitmap binary, sigs binary"
+ENTRY = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), ("bitmap", pa.binary()), ("body", pa.binary())])
+_ENTRY_DDL = "part int, key bigint, n int, bitmap binary, body binary"
 
 
-def _entries(cells: int, slices: int, threshold: float, most: int):
-    """Arrow batches (id, runs) to one row per record and unit of work, with the signatures the record has there."""
+def _entries(cells: int, units: int, slices: int, threshold: float, most: int):
+    """Arrow batches (key, runs) to one row per record and unit of work.
+
+    Undivided (one slice), a unit holds whole cells and a row carries the local
+    sets, from which signatures are enumerated where they meet. Divided, a unit is
+    one slice of a cell's signatures, and a row carries those that fall there.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(1).to_pylist()]
-                size = np.array([len(x) for x in sets], dtype=np.int64)
-                if not size.sum():
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                keys, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+                batch = batch.take(pa.array(first))  # copies in one batch travel once
+                runs, size = binary_column(batch.column(1))
+                if not len(runs):
                     continue
-                runs = np.concatenate(sets)
-                owner = np.repeat(np.arange(len(sets)), size)
-                bitmap = parity_bitmap(owner, runs, len(sets))
-                who, cell, sig = cell_signatures(owner, runs, cells, threshold, most)
-                part = cell * slices + (sig >> np.uint64(40)).astype(np.int64) % slices
+                owner = np.repeat(np.arange(len(keys)), size)
+                bitmap = parity_bitmap(owner, runs, len(keys)).view(np.uint8).reshape(len(keys), BITS // 8)
+                if slices == 1:
+                    who, part, body = owner, (runs % np.uint64(cells)).astype(np.int64) % units, runs
+                else:
+                    who, cell, sig = cell_signatures(owner, runs, cells, threshold, most)
+                    part = cell * slices + (sig >> np.uint64(40)).astype(np.int64) % slices
+                    body = sig & np.uint64((1 << 48) - 1)
                 order = np.lexsort((part, who))
-                who, part, sig = who[order], part[order], sig[order]
+                who, part, body = who[order], part[order], body[order]
                 new = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (part[1:] != part[:-1])))
-                ends = np.append(new[1:], len(who))
                 w = who[new]
-                raw = (sig >> np.uint64(16)).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits are enough to meet
-                flat = np.ascontiguousarray(raw).tobytes()
-                maps = [x.tobytes() for x in bitmap]
                 yield pa.record_batch([
-                    pa.array(part[new], pa.int32()), pa.array(ids[w], pa.int64()), pa.array(size[w], pa.int32()),
-                    pa.array([maps[i] for i in w], pa.binary()),
-                    pa.array([flat[6 * a : 6 * b] for a, b in zip(new, ends, strict=True)], pa.binary()),
+                    pa.array(part[new], pa.int32()), pa.array(keys[w], pa.int64()), pa.array(size[w], pa.int32()),
+                    _binary(bitmap[w].ravel(), np.arange(len(w) + 1) * (BITS // 8)),
+                    _binary(to_bytes(body).ravel(), np.append(new, len(who)) * 6),
                 ], schema=ENTRY)
 
     return of
 
 
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.BinaryArray:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def bucket_pairs(ids: np.ndarray, size: np.ndarray, bitmap: np.ndarray, row: np.ndarray, sig: np.ndarray, threshold: float, block: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that share a signature and pass the size and bitmap bounds, in bounded blocks."""
     order = np.argsort(sig, kind="stable")
@@ -228,44 +264,66 @@ def bucket_pairs(ids: np.ndarray, size: np.ndarray, bitmap: np.ndarray, row: np.
         at = to
 
 
-def _meet(threshold: float):
-    """One unit of work after another: entries to candidate pairs."""
+def _meet(cells: int, units: int, slices: int, threshold: float, most: int, held: int = 1 << 22):
+    """The rows of one unit of work to candidate pairs. About ``held`` signatures are sorted at a time."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
             return
-        table = pa.Table.from_batches(held).combine_chunks()
-        del held
-        ids = table["id"].to_numpy()
-        size = table["n"].to_numpy().astype(np.int64)
-        maps = table["bitmap"].combine_chunks()
-        bitmap = np.frombuffer(b"".join(maps.to_pylist()), dtype=np.uint64).reshape(len(ids), BITS // 64)
-        sigs = table["sigs"].to_pylist()
-        part = table["part"].to_numpy().astype(np.uint64)
-        del table
-        n = np.array([len(x) // 6 for x in sigs], dtype=np.int64)
-        wide = np.zeros((n.sum(), 8), dtype=np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(sigs), dtype=np.uint8).reshape(-1, 6)
-        del sigs
-        sig = wide.view(np.uint64).ravel()
-        row = np.repeat(np.arange(len(ids)), n)
-        sig = sig ^ (part[row] << np.uint64(48))
-        seen: list[np.ndarray] = []
-        held_pairs = 0
-        for a, b in bucket_pairs(ids, size, bitmap, row, sig, threshold):
-            keep = a != b
-            seen.append(np.stack([a[keep], b[keep]], axis=1))
-            held_pairs += int(keep.sum())
-            if held_pairs > 1 << 20:
-                yield _pair_batch(seen)
-                seen, held_pairs = [], 0
-        if seen:
-            yield _pair_batch(seen)
+        key = np.concatenate([b.column(1).to_numpy() for b in rows])
+        # a text of many copies comes once from each batch that holds it
+        _, first = np.unique(np.stack([key, np.concatenate([b.column(0).to_numpy() for b in rows])]), axis=1, return_index=True)
+        table = pa.Table.from_batches(rows).take(pa.array(np.sort(first)))
+        del rows
+        key, size = table["key"].to_numpy(), table["n"].to_numpy().astype(np.int64)
+        maps, part = table["bitmap"], table["part"].to_numpy().astype(np.int64)
+        body, n = binary_column(table["body"])
+        bitmap = np.frombuffer(b"".join(maps.to_pylist()), dtype=np.uint64).reshape(len(key), BITS // 64)
+        del table, maps
+        row = np.repeat(np.arange(len(key)), n)
+        out: list[np.ndarray] = []
+        count = 0
+        for who, sig in _signature_blocks(row, body, part, cells, slices, threshold, most, held):
+            for a, b in bucket_pairs(key, size, bitmap, who, sig, threshold):
+                keep = a != b
+                out.append(np.stack([a[keep], b[keep]], axis=1))
+                count += int(keep.sum())
+                if count > 1 << 20:
+                    yield _pair_batch(out)
+                    out, count = [], 0
+        if out:
+            yield _pair_batch(out)
 
     return of
 
 
+def _signature_blocks(row, body, part, cells, slices, threshold, most, held) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, signature) in blocks such that equal signatures always lie in one block."""
+    if slices > 1:
+        sig = body ^ (part[row].astype(np.uint64) << np.uint64(48))
+        pieces = max(1, len(sig) // held)
+        for p in range(pieces):
+            mine = sig % np.uint64(pieces) == p if pieces > 1 else slice(None)
+            yield row[mine], sig[mine]
+        return
+    cell = (body % np.uint64(cells)).astype(np.int64)
+    for c in np.unique(cell):
+        here = cell == c
+        r, b = row[here], body[here]
+        pieces = max(1, 4 * len(b) // held)
+        for p in range(pieces):
+            kept_row, kept_sig = [], []
+            edges = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            for lo in range(0, len(edges), 200_000):  # records enumerated at a time
+                span = slice(edges[lo], edges[lo + 200_000] if lo + 200_000 < len(edges) else len(r))
+                who, _, sig = cell_signatures(r[span], b[span], cells, threshold, most)
+                mine = sig % np.uint64(pieces) == p if pieces > 1 else slice(None)
+                kept_row.append(who[mine])
+                kept_sig.append(sig[mine])
+            yield np.concatenate(kept_row), np.concatenate(kept_sig)
+
+
 def _pair_batch(parts: list[np.ndarray]) -> pa.RecordBatch:
     pairs = np.unique(np.concatenate(parts), axis=0)
     return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -274,13 +332,6 @@ def _pair_batch(parts: list[np.ndarray]) -> pa.RecordBatch:
 # --- operator -------------------------------------------------------------------------------------------------
 
 
-def _bytes_to_longs(name: str):
-    def of(series: pd.Series) -> pd.Series:
-        return series.map(lambda x: np.frombuffer(x, dtype=np.int64))
-
-    return F.pandas_udf(of, T.ArrayType(T.LongType()))(F.col(name))
-
-
 def similar_pairs(
     records: DataFrame,
     threshold: float = 0.8,
@@ -292,49 +343,63 @@ def similar_pairs(
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of records (id, title, abstract).
 
-    pairs: (a, b, common, either), a < b, representatives of different run sets
-    whose similarity common / either is at least the threshold. members: (id, rep) for every
-    record that takes part; records of one rep have equal run sets.
+    pairs: (a, b, common, either), a < b, keys of different run sets whose
+    similarity common / either is at least the threshold. members: (id, key) for every
+    record that takes part; records of one key have equal run sets.
 
-    ``slices`` divides each cell; left out, there are as many units of work as
-    the session has shuffle partitions, at least one a cell.
+    A unit of work holds two cells, or with ``slices`` above 1 one slice of a
+    cell. Left out, slices follow the session's shuffle partitions: one for each
+    480 of them.
     """
     spark = records.sparkSession
     if slices is None:
-        slices = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // cells))
+        slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // (20 * cells))
+    units = max(1, cells // 2) if slices == 1 else cells * slices
     source = records.select(F.col("id").cast("bigint"), "title", "abstract").where("id is not null and abstract is not null")
-    run_sets = source.select("id", _run_sets(words, least_words)("title", "abstract").alias("runs")).where("runs is not null")
-    keyed = run_sets.select("id", F.xxhash64("runs").alias("k1"), F.hash("runs").alias("k2"))
-    reps = keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    members = keyed.join(reps, ["k1", "k2"]).select("id", "rep").distinct()
-    chosen = run_sets.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    units = cells * slices
+    sets = source.select("id", _run_sets(words, least_words)("title", "abstract").alias("x")).select("id", "x.key", "x.runs")
+    sets = materialize(sets.where("runs is not null"))  # read three times below
     pairs = (
-        chosen.select("id", "runs")
-        .mapInArrow(_entries(cells, slices, threshold, most), _ENTRY_DDL)
+        sets.select("key", "runs")
+        .mapInArrow(_entries(cells, units, slices, threshold, most), _ENTRY_DDL)
         .repartitionById(units, F.col("part"))
-        .mapInArrow(_meet(threshold), "a bigint, b bigint")
+        .mapInArrow(_meet(cells, units, slices, threshold, most), "a bigint, b bigint")
         .distinct()
     )
-    return check_pairs(pairs, chosen, threshold), members
+    return check_pairs(pairs, sets.select("key", "runs"), threshold), sets.select("id", "key").distinct()
+
+
+def _overlap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    common, either = [], []
+    for x, y in zip(a, b, strict=True):
+        x, y = from_bytes(x), from_bytes(y)
+        c = len(np.intersect1d(x, y, assume_unique=True))
+        common.append(c)
+        either.append(len(x) + len(y) - c)
+    return pd.DataFrame({"common": common, "either": either})
 
 
-def check_pairs(pairs: DataFrame, run_sets: DataFrame, threshold: float) -> DataFrame:
+def check_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold."""
-    sets = run_sets.select("id", _bytes_to_longs("runs").alias("s"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"
+    overlap = F.pandas_udf(_overlap, T.StructType([T.StructField("common", T.LongType()), T.StructField("either", T.LongType())]))
+    one = sets.groupBy("key").agg(F.first("runs").alias("runs"))
+    both = pairs.join(one.select(F.col("key").alias("a"), F.col("runs").alias("ra")), "a").join(
+        one.select(F.col("key").alias("b"), F.col("runs").alias("rb")), "b"
     )
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    both = both.select("a", "b", "common", (F.col("sizes") - F.col("common")).alias("either"))
+    both = both.select("a", "b", overlap("ra", "rb").alias("x")).select("a", "b", "x.*")
     return both.where(F.col("common") >= F.lit(threshold) * F.col("either") - 1e-9)
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of records, from pairs of representatives and from equal run sets."""
-    x = members.select(F.col("rep").alias("a"), F.col("id").alias("ia"))
-    y = members.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
+    """(a, b), a < b: all pairs of records, from pairs of keys and from equal run sets."""
+    x = members.select(F.col("key").alias("a"), F.col("id").alias("ia"))
+    y = members.select(F.col("key").alias("b"), F.col("id").alias("ib"))
     across = pairs.select("a", "b").join(x, "a").join(y, "b").select("ia", "ib")
     same = x.join(y.withColumnRenamed("b", "a"), "a").where("ia < ib").select("ia", "ib")
     every = across.unionByName(same).where("ia != ib")
     return every.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
+
+
+def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, key, links): one row a record: the key of its run set and to how many other texts it is linked."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
+    return members.join(ends, "key", "left").select("id", "key", F.coalesce("links", F.lit(0)).alias("links"))
