@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.session import materialize
+
 # Letters of other alphabets that look like a Latin letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝѡӏҮүԌ", "ABESIJKMHOPCTYXaeopcyxsijhdqwwlYyG", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj", strict=True))
@@ -244,6 +246,7 @@ def same_looking_pairs(docs: DataFrame) -> DataFrame:
     keyed = forms.select(
         "doc_id", F.xxhash64("canonical").alias("c1"), F.md5("canonical").alias("c2"), F.sha2("text", 256).alias("raw")
     ).distinct()
+    keyed = materialize(keyed)  # hashes only; every later use would else repair the texts again
     texts = keyed.select("c1", "c2", "raw").distinct()
     several = texts.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2")
     members = keyed.join(several, ["c1", "c2"], "left_semi")
