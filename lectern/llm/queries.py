@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import lookalikes, mixture, neardup, packing, splitting, survivors
+from lectern.llm import lookalikes, mixture, neardup, packing, scans, splitting, survivors
 from lectern.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.damaged_lines(table(spark, d, "zotero_items"), table(spark, d, "lexicon"))
+
+
+def p1_texts(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_texts(table(spark, d, "zotero_items"), table(spark, d, "lexicon"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     cut = splitting.split_records(_oversized(spark, d))
     return cut.select("field_name", "record_key").distinct()
