@@ -307,13 +307,16 @@ def find_furniture(lines: list[str], seps: list[str], title: str | None, creator
             found[i] = "header"
     # a bare year below the rows of a table is its last row, unless it is next to other page numbers in count
     values = {i: v[0] for i, v in plain.items() if v[1] == "bare"}
+    last_rows = set()
     for i, value in values.items():
-        if not 1500 <= value <= 2099:
-            continue
         r = rank[i] - 1
         while r >= 0 and full[r] in found:
             r -= 1
-        if r >= 0 and _TABLE.match(lines[full[r]]) and not any(j != i and abs(w - value) <= 2 for j, w in values.items()):
+        if 1500 <= value <= 2099 and r >= 0 and _TABLE.match(lines[full[r]]):
+            last_rows.add(i)
+    pages = [w for j, w in values.items() if j not in last_rows]
+    for i in last_rows:
+        if not any(abs(w - values[i]) <= 2 for w in pages):
             del found[i]
     return found
 
