@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import lookalikes, mixture, neardup, packing, scans, splitting, survivors
+from lectern.llm import lookalikes, mixture, names, neardup, packing, scans, splitting, survivors
 from lectern.sources.tables import table
 
 
@@ -32,6 +32,14 @@ def _oversized(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized_records(table(spark, d, "zotero_items"), table(spark, d, "prepared_batches"), table(spark, d, "size_limits"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(table(spark, d, "creators"))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_classes(table(spark, d, "creators"))
+
+
 def _similar(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, d, "zotero_items").select(F.col("item_id").alias("id"), "title", "abstract")
     return neardup.similar_pairs(items, threshold=0.6, words=3, least_words=30)
@@ -42,6 +50,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.expand(pairs, members).select(F.col("a").alias("item_id_a"), F.col("b").alias("item_id_b"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row an item at the library's usual setting: five words, similarity 0.8."""
+    items = table(spark, d, "zotero_items").select(F.col("item_id").alias("id"), "title", "abstract")
+    return neardup.classes(*neardup.similar_pairs(items, threshold=0.8, words=5, least_words=30)).select(F.col("id").alias("item_id"), F.col("key").alias("class_id"), "links")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     best = survivors.survivors(table(spark, d, "zotero_items"), table(spark, d, "deleted_items"))
     return best.select("group_item_id", "field_name", "item_id")
