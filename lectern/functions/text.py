@@ -66,7 +66,7 @@ def html_to_text(c: Column) -> Column:
 
 def first_line(c: Column, most: int = 80) -> Column:
     """The first line that is not blank, cut with an ellipsis; null if there is none."""
-    line = F.trim(F.element_at(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != ""), 1))
+    line = F.trim(F.try_element_at(F.filter(F.split(c, "\n"), lambda x: F.trim(x) != ""), F.lit(1)))
     return F.when(F.length(line) > most, F.concat(F.substring(line, 1, most), F.lit("…"))).otherwise(line)
 
 
@@ -120,7 +120,7 @@ def isbn13(c: Column) -> Column:
     digits = F.split(s, "")
 
     def weighted(first: int, size: int, weight) -> Column:
-        terms = [F.coalesce(F.element_at(digits, i + 1).try_cast("int"), F.when(F.element_at(digits, i + 1) == "X", 10), F.lit(0)) * weight(i) for i in range(first, size)]
+        terms = [F.coalesce(F.get(digits, F.lit(i)).try_cast("int"), F.when(F.get(digits, F.lit(i)) == "X", 10), F.lit(0)) * weight(i) for i in range(first, size)]
         total = terms[0]
         for t in terms[1:]:
             total = total + t

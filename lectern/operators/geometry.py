@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.grouped import map_groups
+
 
 def _side(box: Column, i: int) -> tuple[Column, Column]:
     return box[i], box[i] + box[i + 2]
@@ -59,10 +60,10 @@ def _merge(gap: float, same: float):
     def close(a, b) -> bool:
         return max(b[0] - a[0] - a[2], a[0] - b[0] - b[2]) <= gap and max(b[1] - a[1] - a[3], a[1] - b[1] - b[3]) <= gap
 
-    def of(page: pd.DataFrame) -> pd.DataFrame:
+    def of(page, rows: list[tuple]) -> list[tuple]:
         boxes: list[list[float]] = []
-        for r in page.sort_values(["priority", "y", "x"], kind="stable").itertuples(index=False):
-            b = [r.x, r.y, r.w, r.h]
+        for _, _, x, y, w, h in sorted(rows, key=lambda r: (r[1], r[3], r[2])):
+            b = [x, y, w, h]
             if all(box_iou(b, o) < same for o in boxes):
                 boxes.append(b)
         again = True
@@ -77,7 +78,7 @@ def _merge(gap: float, same: float):
                     again = True
                     break
         boxes.sort(key=lambda b: (b[1], b[0]))
-        return pd.DataFrame([(page["page_id"].iloc[0], n, *b) for n, b in enumerate(boxes)], columns=["page_id", "region", "x", "y", "w", "h"])
+        return [(page, n, *b) for n, b in enumerate(boxes)]
 
     return of
 
@@ -86,7 +87,8 @@ def merge_regions(regions: DataFrame, least_area: float, most_area: float, gap:
     """Per page: regions within the area bounds, near-equal ones once (by priority), near ones merged to a fixed point, in reading order."""
     area = F.col("w") * F.col("h")
     kept = regions.where((area >= least_area) & (area <= most_area))
-    return kept.groupBy("page_id").applyInPandas(_merge(gap, same), "page_id bigint, region int, x double, y double, w double, h double")
+    schema = "page_id bigint, region int, x double, y double, w double, h double"
+    return map_groups(kept, "page_id", _merge(gap, same), schema, ["page_id", "priority", "x", "y", "w", "h"])
 
 
 def match_captions(regions: DataFrame, captions: DataFrame, most_distance: float = 0.1, least_overlap: float = 0.3) -> DataFrame:
@@ -102,13 +104,13 @@ def match_captions(regions: DataFrame, captions: DataFrame, most_distance: float
     both = both.withColumn("distance", below).where((F.col("distance") <= most_distance) & (F.col("overlap") >= least_overlap))
     both = both.withColumn("score", F.round(0.5 * F.col("overlap") + 0.3 * (1 - F.col("distance") / most_distance) + 0.2 * (1 - F.least(F.lit(1.0), centre)), 6))
 
-    def choose(page: pd.DataFrame) -> pd.DataFrame:
+    def choose(page, rows: list[tuple]) -> list[tuple]:
         used_r, used_c, out = set(), set(), []
-        for x in page.sort_values(["score", "caption", "region"], ascending=[False, True, True], kind="stable").itertuples(index=False):
-            if x.region not in used_r and x.caption not in used_c:
-                used_r.add(x.region)
-                used_c.add(x.caption)
-                out.append((x.page_id, x.caption, x.region, x.score))
-        return pd.DataFrame(out, columns=["page_id", "caption", "region", "score"])
-
-    return both.select("page_id", "caption", "region", "score").groupBy("page_id").applyInPandas(choose, "page_id bigint, caption int, region int, score double")
+        for _, cap, region, score in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+            if region not in used_r and cap not in used_c:
+                used_r.add(region)
+                used_c.add(cap)
+                out.append((page, cap, region, score))
+        return out
+
+    return map_groups(both, "page_id", choose, "page_id bigint, caption int, region int, score double", ["page_id", "caption", "region", "score"])

@@ -19,17 +19,17 @@ def descendants(collections: DataFrame, roots: DataFrame, depth: int = 64) -> Da
     """
     spark = collections.sparkSession
     return spark.sql(
-        """
+        f"""
         WITH RECURSIVE tree(root_id, collection_id, depth, seen) MAX RECURSION LEVEL 100 AS (
-            SELECT collection_id, collection_id, 0, array(collection_id) FROM {roots}
+            SELECT collection_id, collection_id, 0, array(collection_id) FROM {{roots}}
             UNION ALL
             SELECT t.root_id, c.collection_id, t.depth + 1, array_append(t.seen, c.collection_id)
-            FROM tree t JOIN {edges} c ON c.parent_collection_id = t.collection_id
-            WHERE NOT array_contains(t.seen, c.collection_id) AND t.depth < {depth}
+            FROM tree t JOIN {{edges}} c ON c.parent_collection_id = t.collection_id
+            WHERE NOT array_contains(t.seen, c.collection_id) AND t.depth < {int(depth)}
         )
         SELECT root_id, collection_id, min(depth) AS depth FROM tree GROUP BY root_id, collection_id
         """,
-        roots=roots.select("collection_id").distinct(), edges=_edges(collections), depth=F.lit(depth),
+        roots=roots.select("collection_id").distinct(), edges=_edges(collections),
     )
 
 
@@ -37,18 +37,18 @@ def paths(collections: DataFrame, depth: int = 64) -> DataFrame:
     """(collection_id, path, n_levels): names from the root down; a missing parent or a cycle ends the path."""
     spark = collections.sparkSession
     return spark.sql(
-        """
+        f"""
         WITH RECURSIVE up(collection_id, next_id, names, seen) MAX RECURSION LEVEL 100 AS (
-            SELECT collection_id, parent_collection_id, array(collection_name), array(collection_id) FROM {edges}
+            SELECT collection_id, parent_collection_id, array(collection_name), array(collection_id) FROM {{edges}}
             UNION ALL
             SELECT u.collection_id, c.parent_collection_id, array_prepend(u.names, c.collection_name), array_append(u.seen, c.collection_id)
-            FROM up u JOIN {edges} c ON c.collection_id = u.next_id
-            WHERE NOT array_contains(u.seen, c.collection_id) AND size(u.seen) < {depth}
+            FROM up u JOIN {{edges}} c ON c.collection_id = u.next_id
+            WHERE NOT array_contains(u.seen, c.collection_id) AND size(u.seen) < {int(depth)}
         )
         SELECT collection_id, array_join(max_by(names, size(names)), ' / ') AS path, max(size(names)) AS n_levels
         FROM up GROUP BY collection_id
         """,
-        edges=_edges(collections), depth=F.lit(depth),
+        edges=_edges(collections),
     )
 
 

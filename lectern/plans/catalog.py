@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def _modules() -> list:
-    return []
+from lectern.plans import index_queries, library_queries, search_queries, text_queries  # noqa: F401  (they register)
+from lectern.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: s for m in _modules() for name, s in m.SQL.items()}
+    return dict(SQL)
