@@ -111,4 +111,12 @@ def oracle_sql() -> dict[str, str]:
                 '^[\s\v\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ''),
                 '[\s\v\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '')) > m
         """,
+        "p4_found": r"""
+            WITH t AS (SELECT item_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || abstract), '[\p{L}\p{N}]+') AS w
+                       FROM zotero_items WHERE abstract IS NOT NULL AND regexp_matches(abstract, '\S')),
+                 s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM t WHERE len(w) >= 30),
+                 n AS (SELECT item_id, count(*) AS n FROM s GROUP BY item_id),
+                 c AS (SELECT a.item_id AS x, b.item_id AS y, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.item_id < b.item_id GROUP BY 1, 2)
+            SELECT x AS item_id_a, y AS item_id_b FROM c JOIN n na ON na.item_id = x JOIN n nb ON nb.item_id = y WHERE c >= 0.6 * (na.n + nb.n - c) - 1e-9
+        """,
     }
