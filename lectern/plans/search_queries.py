@@ -19,7 +19,8 @@ def _fold_sql(c: str) -> str:
     return f"lower(strip_accents({c}))"
 
 
-_NEWEST = [F.col("date_modified").desc_nulls_last(), F.col("item_id").desc()]
+def _newest() -> list:
+    return [F.col("date_modified").desc_nulls_last(), F.col("item_id").desc()]
 
 
 @query("""
@@ -106,7 +107,7 @@ def multi_missing(spark: SparkSession, d: str) -> DataFrame:
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     items = library.outside_trash(table(spark, d, "zotero_items"), table(spark, d, "deleted_items"))
     everything = [F.col(c) for c in ("title", "creators", "date_added", "abstract", "extra", "notes")]
-    return items.where(predicates.keyword_match(everything, ["hand-written"])).orderBy(*_NEWEST).limit(100).select("item_id")
+    return items.where(predicates.keyword_match(everything, ["hand-written"])).orderBy(*_newest()).limit(100).select("item_id")
 
 
 @query(f"""
