@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.identifiers import doi_key, instant_micros, is_blank
+from lectern.session import materialize
 
 FIELDS = ("title", "abstract")
 
@@ -110,7 +111,7 @@ def usable_values(base: DataFrame, groups: DataFrame) -> DataFrame:
     ).select("group_item_id", "item_id", "micros", "x.*")
     long = long.where(~is_blank("value")).where(~is_stand_in(F.col("value")) & ~F.col("value").rlike(CUT_MARK))
     long = long.withColumn("stem", F.regexp_replace(folded(F.col("value")), r"(?U)[\s.,;:]+$", ""))
-    long = long.withColumn("stem_id", F.sha2("stem", 256))
+    long = materialize(long.withColumn("stem_id", F.sha2("stem", 256)))  # only grouped, usable values; read four times below
     head = 24
     distinct = long.groupBy("group_item_id", "field_name", "stem_id").agg(F.first("stem").alias("stem"))
     keys = ["group_item_id", "field_name"]
