@@ -217,7 +217,7 @@ def canonical_text(docs: DataFrame, text: str = "text", out: str = "canonical")
     vocabulary of the whole corpus with one shuffled semi-join on the token;
     nothing is broadcast.
     """
-    unified = docs.withColumn(out, unify_forms_udf(F.col(text)))
+    unified = materialize(docs.withColumn(out, unify_forms_udf(F.col(text))))  # read five times below
     doubtful = unified.where(F.col(out).rlike("[\\u0370-\\u058f\\u1f00-\\u1fff]"))
     wanted = doubtful.select(F.explode(doubtful_readings_udf(F.col(out))).alias("token")).distinct()
     # a word can stand in the vocabulary only if some text has it in one script
