@@ -46,7 +46,7 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     number of distinct windows in use, not k.
     """
     n = len(sizes)
-    if k <= 1:
+    if k <= 1 or not n:
         return np.zeros(n, dtype=np.int64)
     # a partition: (-spread, tie, sums above the base descending, their members); the other windows are empty of excess
     heap: list[tuple[float, int, list[int], list[object]]] = []

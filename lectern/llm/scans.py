@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -570,17 +571,15 @@ def corpus_lexicon(items: DataFrame, lexicon: DataFrame, most_words: int = 20_00
     return Lexicon(weights, {(r["a"], r["b"]): r["n"] for r in counted.collect()})
 
 
-_READERS: dict[int, LineReader] = {}
+_READERS: dict[str, LineReader] = {}
 
 
-def _reader(shared) -> LineReader:
-    """One reader a worker and lexicon, so that judged tokens are remembered between batches."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _READERS:
+def _reader(token: str, shared) -> LineReader:
+    """One reader a worker and call, so that judged tokens are remembered between batches."""
+    if token not in _READERS:
         _READERS.clear()
-        weights, pairs = shared.value
-        _READERS[key] = LineReader(Lexicon(weights, pairs))
-    return _READERS[key]
+        _READERS[token] = LineReader(Lexicon(*shared.value))
+    return _READERS[token]
 
 
 def _spread(items: DataFrame) -> DataFrame:
@@ -591,10 +590,10 @@ def _spread(items: DataFrame) -> DataFrame:
 def damaged_lines(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(item_id, line_no, defect): one row per damaged line and kind of damage."""
     lex = corpus_lexicon(items, lexicon)
-    shared = items.sparkSession.sparkContext.broadcast((lex.weights, lex.pairs))
+    shared, token = items.sparkSession.sparkContext.broadcast((lex.weights, lex.pairs)), uuid4().hex  # bounded by the vocabulary
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _reader(shared)
+        reader = _reader(token, shared)
         for batch in batches:
             rows = [
                 (item, line, defect)
@@ -609,10 +608,10 @@ def damaged_lines(items: DataFrame, lexicon: DataFrame) -> DataFrame:
 def repaired_texts(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(item_id, text): every full text as continuous paragraphs in its true words."""
     lex = corpus_lexicon(items, lexicon)
-    shared = items.sparkSession.sparkContext.broadcast((lex.weights, lex.pairs))
+    shared, token = items.sparkSession.sparkContext.broadcast((lex.weights, lex.pairs)), uuid4().hex  # bounded by the vocabulary
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _reader(shared)
+        reader = _reader(token, shared)
         for batch in batches:
             texts = [rebuild(text, title, creators, reader) for _, title, creators, text in batch.itertuples(index=False)]
             yield pd.DataFrame({"item_id": batch["item_id"], "text": texts})
