@@ -268,19 +268,30 @@ def _meet(cells: int, units: int, slices: int, threshold: float, most: int, held
     """The rows of one unit of work to candidate pairs. About ``held`` signatures are sorted at a time."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
+        got: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            if b.num_rows:
+                maps = b.column(3)
+                offset = np.frombuffer(maps.buffers()[1], dtype=np.int32)[maps.offset : maps.offset + len(maps) + 1]
+                flat = np.frombuffer(maps.buffers()[2], dtype=np.uint8)[offset[0] : offset[-1]]
+                body, n = binary_column(b.column(4))
+                # copies: nothing of the batch stays in memory
+                got.append((b.column(0).to_numpy().copy(), b.column(1).to_numpy().copy(), b.column(2).to_numpy().copy(), flat.reshape(-1, BITS // 8).copy(), body, n.astype(np.int32)))
+        if not got:
             return
-        key = np.concatenate([b.column(1).to_numpy() for b in rows])
-        # a text of many copies comes once from each batch that holds it
-        _, first = np.unique(np.stack([key, np.concatenate([b.column(0).to_numpy() for b in rows])]), axis=1, return_index=True)
-        table = pa.Table.from_batches(rows).take(pa.array(np.sort(first)))
-        del rows
-        key, size = table["key"].to_numpy(), table["n"].to_numpy().astype(np.int64)
-        maps, part = table["bitmap"], table["part"].to_numpy().astype(np.int64)
-        body, n = binary_column(table["body"])
-        bitmap = np.frombuffer(b"".join(maps.to_pylist()), dtype=np.uint64).reshape(len(key), BITS // 64)
-        del table, maps
+        part, key, size, maps, body, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        # a text of many copies comes once from each batch that holds it: the first is kept
+        order = np.lexsort((key, part))
+        again = np.append(False, (key[order][1:] == key[order][:-1]) & (part[order][1:] == part[order][:-1]))
+        if again.any():
+            keep = np.ones(len(key), dtype=bool)
+            keep[order[again]] = False
+            body = body[np.repeat(keep, n)]
+            part, key, size, maps, n = part[keep], key[keep], size[keep], maps[keep], n[keep]
+        bitmap = np.ascontiguousarray(maps).view(np.uint64)
+        size, part = size.astype(np.int64), part.astype(np.int64)
+        del maps, order, again
         row = np.repeat(np.arange(len(key)), n)
         out: list[np.ndarray] = []
         count = 0
@@ -347,14 +358,15 @@ def similar_pairs(
     similarity common / either is at least the threshold. members: (id, key) for every
     record that takes part; records of one key have equal run sets.
 
-    A unit of work holds two cells, or with ``slices`` above 1 one slice of a
-    cell. Left out, slices follow the session's shuffle partitions: one for each
-    480 of them.
+    A unit of work holds a cell (two where the session has few shuffle
+    partitions), or with ``slices`` above 1 one slice of a cell. Left out, slices
+    follow the session's shuffle partitions: one for each 480 of them.
     """
     spark = records.sparkSession
     if slices is None:
         slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // (20 * cells))
-    units = max(1, cells // 2) if slices == 1 else cells * slices
+    few = int(spark.conf.get("spark.sql.shuffle.partitions")) <= cells
+    units = max(1, cells // 2) if slices == 1 and few else cells * slices
     source = records.select(F.col("id").cast("bigint"), "title", "abstract").where("id is not null and abstract is not null")
     sets = source.select("id", _run_sets(words, least_words)("title", "abstract").alias("x")).select("id", "x.key", "x.runs")
     sets = materialize(sets.where("runs is not null"))  # read three times below
