@@ -304,7 +304,9 @@ def find_furniture(lines: list[str], seps: list[str], title: str | None, creator
             found[i] = "header"
         elif edge[i] and (short or not prose) and is_repeated(core):
             found[i] = "header"
-        elif short and not prose and (edge[i] or apart) and s[0].isupper() and _head_like(s):
+        elif short and not prose and (edge[i] or apart and s[0].isupper()) and _head_like(s):
+            found[i] = "header"
+        elif short and not prose and not edge[i] and _interrupts(lines[full[rank[i] - 1]], s, lines[full[rank[i] + 1]], lex):
             found[i] = "header"
     # a bare year below the rows of a table is its last row, unless it is next to other page numbers in count
     values = {i: v[0] for i, v in plain.items() if v[1] == "bare"}
@@ -327,6 +329,13 @@ _ET_AL = re.compile(r"[^\W\d_][^\s,]*(?:\s[^\s,]+)?\s*\b[ec]\S\s?\S{1,2}\.?")
 _NAME_YEAR = re.compile(r"[^\W\d_][^,;]{1,24}:\s*\S?\d\S{2,3}")
 
 
+def _interrupts(before: str, s: str, after: str, lex: Lexicon) -> bool:
+    """Whether a line stands inside a word broken over it, or as a label inside a sentence."""
+    if broken_word(before, after, lex) and not broken_word(before, s, lex):
+        return True
+    return s[0].isupper() and _head_like(s) and before.rstrip()[-1:].isalpha() and after.strip()[:1].islower()
+
+
 def _head_like(s: str) -> bool:
     """A short label (a series, a copy note, a volume) rather than the end of a sentence."""
     words = s.split()
