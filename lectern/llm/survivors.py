@@ -109,8 +109,9 @@ def usable_values(base: DataFrame, groups: DataFrame) -> DataFrame:
         "group_item_id", "item_id", "micros",
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS])).alias("x"),
     ).select("group_item_id", "item_id", "micros", "x.*")
-    long = long.where(~is_blank("value")).where(~is_stand_in(F.col("value")) & ~F.col("value").rlike(CUT_MARK))
-    long = long.withColumn("stem", F.regexp_replace(folded(F.col("value")), r"(?U)[\s.,;:]+$", ""))
+    long = long.where(~is_blank("value")).where(~is_stand_in(F.col("value"))).withColumn("marked", F.col("value").rlike(CUT_MARK))
+    # a value marked as cut can't survive, but what is there of it may be fuller than another
+    long = long.withColumn("stem", F.regexp_replace(folded(F.regexp_replace("value", CUT_MARK, "")), r"(?U)[\s.,;:]+$", ""))
     long = materialize(long.withColumn("stem_id", F.sha2("stem", 256)))  # only grouped, usable values; read four times below
     head = 24
     distinct = long.groupBy("group_item_id", "field_name", "stem_id").agg(F.first("stem").alias("stem"))
@@ -130,7 +131,7 @@ def usable_values(base: DataFrame, groups: DataFrame) -> DataFrame:
     ).select(*keys, F.expr("substring(stem, 1, n)").alias("stem"))
     begins = begins.join(short.select(*keys, "stem"), [*keys, "stem"], "left_semi")
     cut_short = begins.distinct().select(*keys, F.sha2("stem", 256).alias("stem_id"))
-    kept = long.join(cut_long.unionByName(cut_short), [*keys, "stem_id"], "left_anti")
+    kept = long.where("not marked").drop("marked").join(cut_long.unionByName(cut_short), [*keys, "stem_id"], "left_anti")
     return kept.withColumn("shape", shape(F.col("value"))).drop("stem", "stem_id")
 
 
