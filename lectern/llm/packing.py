@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 
 from lectern.llm.tokens import DEFAULT_VOCABULARY, n_tokens
 
+MOST_CAPACITIES = 1000
 SCHEMA = "capacity_id int, container_id string, doc_id bigint, copy_no int, part_no int, token_start bigint, tokens bigint"
 
 
@@ -156,7 +157,7 @@ def assign_containers(docs: DataFrame, capacities: DataFrame, vocabulary: str =
     """One row per document (or part of a divided one) and capacity: its container and the tokens it takes there.
 
     ``windows``: about how many windows a block is to have. The number of blocks
-    follows from the token volume; capacities are a few rows, joined by broadcast.
+    follows from the token volume; capacities are settings, at most ``MOST_CAPACITIES``.
     """
     from lectern.session import materialize
 
@@ -166,9 +167,14 @@ def assign_containers(docs: DataFrame, capacities: DataFrame, vocabulary: str =
         capacities.where("capacity_id is not null and capacity_tokens >= 1")
         .groupBy(F.col("capacity_id").cast("int").alias("capacity_id"))
         .agg(F.min("capacity_tokens").cast("bigint").alias("capacity_tokens"))
-        .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.lit(total) / (F.col("capacity_tokens") * windows))).cast("bigint"))
     )
-    items = sized.join(F.broadcast(limits.limit(10_000)), F.lit(True))  # the capacities asked for: a handful, bounded
+    asked = [(r["capacity_id"], r["capacity_tokens"], max(1, ceil(total / (r["capacity_tokens"] * windows)))) for r in limits.take(MOST_CAPACITIES + 1)]
+    if len(asked) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
+    columns = ("capacity_id int", "capacity_tokens bigint", "blocks bigint")
+    each = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, map(str.split, columns), strict=True)]) for row in asked]
+    every = F.array(*each) if each else F.array().cast(f"array<struct<{','.join(c.replace(' ', ':') for c in columns)}>>")
+    items = sized.select("*", F.explode(every).alias("limit")).select("doc_id", "copy_no", "tokens", "limit.*")
     full = F.floor(F.col("tokens") / F.col("capacity_tokens"))
     items = items.withColumn("full", F.when(F.col("tokens") > F.col("capacity_tokens"), full).otherwise(0).cast("int"))
     whole = items.where("full > 0").select(
