@@ -236,13 +236,15 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.BinaryArray:
     return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def bucket_pairs(ids: np.ndarray, size: np.ndarray, bitmap: np.ndarray, row: np.ndarray, sig: np.ndarray, threshold: float, block: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bucket_pairs(ids: np.ndarray, size: np.ndarray, bitmap: np.ndarray, row: np.ndarray, sig: np.ndarray, threshold: float, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that share a signature and pass the size and bitmap bounds, in bounded blocks."""
-    order = np.argsort(sig, kind="stable")
+    order = np.argsort(sig)
     sig, row = sig[order], row[order]
+    del order
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
     count = np.diff(np.append(start, len(sig)))
     start, count = start[count > 1], count[count > 1]
+    del sig
     # every entry meets the later ones of its bucket: (entry, how many follow)
     entry = np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
     follow = np.repeat(start + count, count) - entry - 1
@@ -264,7 +266,7 @@ def bucket_pairs(ids: np.ndarray, size: np.ndarray, bitmap: np.ndarray, row: np.
         at = to
 
 
-def _meet(cells: int, units: int, slices: int, threshold: float, most: int, held: int = 1 << 22):
+def _meet(cells: int, units: int, slices: int, threshold: float, most: int, held: int = 1 << 21):
     """The rows of one unit of work to candidate pairs. About ``held`` signatures are sorted at a time."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +294,7 @@ def _meet(cells: int, units: int, slices: int, threshold: float, most: int, held
         bitmap = np.ascontiguousarray(maps).view(np.uint64)
         size, part = size.astype(np.int64), part.astype(np.int64)
         del maps, order, again
-        row = np.repeat(np.arange(len(key)), n)
+        row = np.repeat(np.arange(len(key), dtype=np.int32), n)
         out: list[np.ndarray] = []
         count = 0
         for who, sig in _signature_blocks(row, body, part, cells, slices, threshold, most, held):
@@ -318,21 +320,26 @@ def _signature_blocks(row, body, part, cells, slices, threshold, most, held) ->
             mine = sig % np.uint64(pieces) == p if pieces > 1 else slice(None)
             yield row[mine], sig[mine]
         return
-    cell = (body % np.uint64(cells)).astype(np.int64)
+    cell = (body % np.uint64(cells)).astype(np.int8 if cells < 128 else np.int32)
     for c in np.unique(cell):
         here = cell == c
         r, b = row[here], body[here]
-        pieces = max(1, 4 * len(b) // held)
-        for p in range(pieces):
-            kept_row, kept_sig = [], []
-            edges = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-            for lo in range(0, len(edges), 200_000):  # records enumerated at a time
-                span = slice(edges[lo], edges[lo + 200_000] if lo + 200_000 < len(edges) else len(r))
+        edges = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        rounds = len(b) // 2_000_000 + 1  # a very large cell is enumerated once a round, so that memory stays bounded
+        for turn in range(rounds):
+            rows, sigs = [], []
+            for lo in range(0, len(edges), 50_000):  # records enumerated at a time
+                span = slice(edges[lo], edges[lo + 50_000] if lo + 50_000 < len(edges) else len(r))
                 who, _, sig = cell_signatures(r[span], b[span], cells, threshold, most)
+                mine = (sig >> np.uint64(20)) % np.uint64(rounds) == turn if rounds > 1 else slice(None)
+                rows.append(who[mine].astype(np.int32))
+                sigs.append(sig[mine])
+            who, sig = np.concatenate(rows), np.concatenate(sigs)
+            del rows, sigs
+            pieces = max(1, -(-len(sig) // held))
+            for p in range(pieces):  # equal signatures fall into one piece
                 mine = sig % np.uint64(pieces) == p if pieces > 1 else slice(None)
-                kept_row.append(who[mine])
-                kept_sig.append(sig[mine])
-            yield np.concatenate(kept_row), np.concatenate(kept_sig)
+                yield who[mine], sig[mine]
 
 
 def _pair_batch(parts: list[np.ndarray]) -> pa.RecordBatch:
