@@ -288,6 +288,74 @@ def grouped_support(spark: SparkSession, d: str) -> DataFrame:
     return vectors.grouped_support(hits)
 
 
+# The set of searches: every vector whose id is divisible by 50, against all vectors.
+
+_PAIRS = f"SELECT q.vec_id AS query_id, e.vec_id, e.label, {_COSINE} AS sim FROM embeddings e, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q"
+
+
+def _searches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    return e.where("vec_id % 50 = 0").select("vec_id", "embedding"), e
+
+
+@query(f"""
+    SELECT query_id, vec_id, round(sim, 6) AS similarity FROM ({_PAIRS})
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 10
+""")
+def cosine_topk_each(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.top_k_each(*_searches(spark, d), 10).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""
+    SELECT query_id, vec_id, label, round(sim, 6) AS similarity FROM ({_PAIRS}) WHERE label IN (2, 3)
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 10
+""")
+def cosine_filtered_each(spark: SparkSession, d: str) -> DataFrame:
+    searches, e = _searches(spark, d)
+    labels = e.where("label in (2, 3)").select("vec_id", "label")
+    return vectors.top_k_each(searches, e.where("label in (2, 3)"), 10).join(labels, "vec_id").select("query_id", "vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""
+    SELECT query_id, vec_id, label, row_number() OVER (PARTITION BY query_id, label ORDER BY sim DESC, vec_id)::INT AS rank FROM ({_PAIRS})
+    QUALIFY rank <= 5
+""")
+def cosine_per_library_each(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.top_k_each(*_searches(spark, d), 5, "label").select("query_id", "vec_id", "label", "rank")
+
+
+@query(f"""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rk FROM ({_PAIRS})),
+         f AS (SELECT query_id, label, min(rk) AS first FROM r GROUP BY query_id, label),
+         b AS (SELECT query_id, first FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY first) = 4)
+    SELECT query_id, vec_id, label FROM r LEFT JOIN b USING (query_id) WHERE rk < coalesce(first, 1000000000)
+""")
+def parent_prefix_each(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.parent_prefix_each(*_searches(spark, d), 3).select("query_id", "vec_id", "label")
+
+
+@query(f"""
+    WITH c AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx FROM embeddings),
+         h AS (SELECT query_id, vec_id FROM ({_PAIRS}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 5)
+    SELECT h.query_id, h.vec_id AS hit_id, n.vec_id, n.label FROM h JOIN c ON c.vec_id = h.vec_id JOIN c n ON n.label = c.label AND abs(n.idx - c.idx) <= 2
+""")
+def chunk_context_each(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    searches, e = _searches(spark, d)
+    chunks = e.select("vec_id", "label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("idx"))
+    hits = vectors.top_k_each(searches, e, 5).select("query_id", "vec_id")
+    near = vectors.neighbours(chunks, hits.select("vec_id").distinct().join(chunks, "vec_id"), 2)
+    return hits.withColumnRenamed("vec_id", "hit_id").join(near, "hit_id").select("query_id", "hit_id", "vec_id", "label")
+
+
+@query()
+def grouped_support_each(spark: SparkSession, d: str) -> DataFrame:
+    searches, e = _searches(spark, d)
+    spans = e.withColumns({"start": (F.col("vec_id") * 120).cast("int"), "end": (F.col("vec_id") * 120 + 200).cast("int"), "label": F.col("label").cast("int")})
+    return vectors.grouped_support_each(searches, spans)
+
+
 @query("""
     WITH t AS (SELECT doc_id, strip_accents(lower(text)) AS f FROM documents)
     SELECT t.doc_id FROM t WHERE contains(f, 'archive') AND contains(f, 'estuar')
