@@ -11,7 +11,9 @@
    distance one; organisations under (deletion of a token, initials of the others).
    Units that meet are compared by optimal assignment of their tokens, which allows
    equal tokens, nicknames, one typing error, abbreviations and initials, and
-   refuses contradicting initials, and two names that are both established.
+   refuses contradicting initials, and two names that are both established. A
+   misspelling that recurs isn't a name of its own, however often it stands: it is
+   far rarer than the name and mostly stands with others that the name stands with.
 5. *Classes.* Accepted pairs are closed to classes by label propagation.
 6. *Initials.* A unit of a surname and initials joins the class of its surname that
    the initials fit; of several the one with the same second initial, then the one
@@ -195,8 +197,9 @@ def same_entity(a: dict, b: dict) -> bool:
         return False
     if a["initials"] and b["initials"] and a["initials"] != b["initials"]:
         return False
+    slips = {*a.get("slips", ()), *b.get("slips", ())}
     for x, y in pairs:
-        if x != y and min(a["spread"].get(x, 0), b["spread"].get(y, 0)) >= 3:
+        if x != y and min(a["spread"].get(x, 0), b["spread"].get(y, 0)) >= 3 and not {f"{x}|{y}", f"{y}|{x}"} & slips:
             return False  # both stand with several other names: two names, not one and its misspelling
     return True
 
@@ -248,6 +251,25 @@ def learn_nicknames(units: DataFrame, least: int = 3, share: float = 0.8, wide_f
     return both.groupBy("short").agg(F.max_by("name", F.struct("both", "n_name", "name")).alias("name"))
 
 
+@F.pandas_udf(T.BooleanType())
+def one_edit_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([token_cost(x, y, False, False) == 1 for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def recurring_slips(ends: DataFrame, spread: DataFrame, ratio: float = 4, share: float = 0.5) -> DataFrame:
+    """(slip, name): established tokens one edit apart of which one is a misspelling of the other.
+
+    ``ends`` has every token ``t`` with every other ``o`` it stands with, ``spread`` their number.
+    The name stands with ``ratio`` times as many others, and with at least ``share`` of the slip's.
+    """
+    keyed = ends.join(spread.where("n >= 3"), "t").select("t", "o", "n", F.explode(deletions_udf("t")).alias("key"))
+    slip = keyed.select(F.col("t").alias("slip"), "o", F.col("n").alias("n_slip"), "key")
+    name = keyed.select(F.col("t").alias("name"), "o", F.col("n").alias("n_name"), "key")
+    both = slip.join(name, ["o", "key"]).where(F.col("n_name") >= ratio * F.col("n_slip")).select("slip", "name", "n_slip", "o").distinct()
+    both = both.groupBy("slip", "name", "n_slip").agg(F.count("*").alias("both")).where(F.col("both") >= share * F.col("n_slip"))
+    return both.where(one_edit_udf("slip", "name")).select("slip", "name")
+
+
 def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, label): the least node of each connected component, by label propagation with pointer jumping."""
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
@@ -280,13 +302,16 @@ def name_classes(creators: DataFrame) -> DataFrame:
     units = units.join(named, "unit", "left").withColumn("names", F.coalesce("names", "tokens"))
     # with how many other names each name stands
     ends = units.where("kind = 'person' and size(names) = 2").select(F.explode(F.array(F.struct(F.col("names")[0].alias("t"), F.col("names")[1].alias("o")), F.struct(F.col("names")[1].alias("t"), F.col("names")[0].alias("o")))).alias("e")).select("e.*").distinct()
+    ends = materialize(ends)
     spread = ends.groupBy("t").agg(F.count("*").alias("n"))
     per_unit = units.select("unit", F.explode("names").alias("t")).join(spread, "t").groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("spread"))
-    units = materialize(units.join(per_unit, "unit", "left"))
+    slips = recurring_slips(ends, spread).select(F.col("slip").alias("t"), F.concat_ws("|", "slip", "name").alias("slip"))
+    slips = units.select("unit", F.explode("names").alias("t")).join(slips, "t").groupBy("unit").agg(F.collect_set("slip").alias("slips"))
+    units = materialize(units.join(per_unit, "unit", "left").join(slips, "unit", "left"))
 
     keyed = units.select("unit", F.explode(keys_udf("kind", "names")).alias("key"))
     meet = keyed.select(F.col("unit").alias("a"), "key").join(keyed.select(F.col("unit").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    body = F.struct("kind", "tokens", "names", "initials", "abbreviated", "spread")
+    body = F.struct("kind", "tokens", "names", "initials", "abbreviated", "spread", "slips")
     sides = units.select("unit", body.alias("u"))
     compared = meet.join(sides.select(F.col("unit").alias("a"), F.col("u").alias("ua")), "a").join(sides.select(F.col("unit").alias("b"), F.col("u").alias("ub")), "b")
 
@@ -302,7 +327,9 @@ def name_classes(creators: DataFrame) -> DataFrame:
 def _side(unit: dict) -> dict:
     spread = unit["spread"]
     spread = dict(spread) if spread is not None else {}
-    return {**unit, "tokens": list(unit["tokens"]), "names": list(unit["names"]), "abbreviated": list(unit["abbreviated"]), "spread": spread}
+    slips = unit["slips"]
+    slips = list(slips) if slips is not None else []
+    return {**unit, "tokens": list(unit["tokens"]), "names": list(unit["names"]), "abbreviated": list(unit["abbreviated"]), "spread": spread, "slips": slips}
 
 
 def _attach_initials(parsed: DataFrame, classed: DataFrame, shape: list[str]) -> DataFrame:
