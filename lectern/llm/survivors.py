@@ -112,6 +112,7 @@ def usable_values(base: DataFrame, groups: DataFrame) -> DataFrame:
     long = long.where(~is_blank("value")).where(~is_stand_in(F.col("value"))).withColumn("marked", F.col("value").rlike(CUT_MARK))
     # a value marked as cut can't survive, but what is there of it may be fuller than another
     long = long.withColumn("stem", F.regexp_replace(folded(F.regexp_replace("value", CUT_MARK, "")), r"(?U)[\s.,;:]+$", ""))
+    long = long.where("stem != ''")  # nothing but stops
     long = materialize(long.withColumn("stem_id", F.sha2("stem", 256)))  # only grouped, usable values; read four times below
     head = 24
     distinct = long.groupBy("group_item_id", "field_name", "stem_id").agg(F.first("stem").alias("stem"))
@@ -124,7 +125,7 @@ def usable_values(base: DataFrame, groups: DataFrame) -> DataFrame:
         .select(*keys, "stem_id")
     )
     short = distinct.where(F.length("stem") < head)
-    begins = distinct.select(
+    begins = distinct.where(F.length("stem") > 1).select(
         *keys,
         F.explode(F.sequence(F.lit(1), F.least(F.lit(head - 1), F.length("stem") - 1))).alias("n"),
         "stem",
