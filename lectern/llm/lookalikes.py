@@ -236,11 +236,15 @@ def canonical_text(docs: DataFrame, text: str = "text", out: str = "canonical")
     return joined.withColumn(out, F.coalesce("_repaired", out)).drop(key, "_repaired")
 
 
+COPIES = 10_000  # of one text, from which they are spread over several keys
+
+
 def same_looking_pairs(docs: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: texts that look the same and differ in a code point.
 
     Pairs are built between *different* texts of one canonical form (few), then
-    spread over the documents that hold them; equal copies are never paired.
+    spread over the documents that hold them, salted where a text has many copies;
+    equal copies are never paired.
     """
     forms = canonical_text(docs.select("doc_id", "text").where("doc_id is not null and text is not null"))
     keyed = forms.select(
@@ -250,7 +254,12 @@ def same_looking_pairs(docs: DataFrame) -> DataFrame:
     texts = keyed.select("c1", "c2", "raw").distinct()
     several = texts.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2")
     members = keyed.join(several, ["c1", "c2"], "left_semi")
-    x = members.select("c1", "c2", F.col("raw").alias("raw_a"), F.col("doc_id").alias("a"))
-    y = members.select("c1", "c2", F.col("raw").alias("raw_b"), F.col("doc_id").alias("b"))
-    pairs = x.join(y, ["c1", "c2"]).where("a < b and raw_a != raw_b")
-    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
+    copies = members.groupBy("c1", "c2", "raw").agg(F.ceil(F.count("*") / COPIES).alias("salts"))
+    x, y = (copies.select("c1", "c2", F.col("raw").alias(f"raw_{s}"), F.col("salts").alias(f"salts_{s}")) for s in "ab")
+    pairs = x.join(y, ["c1", "c2"]).where("raw_a < raw_b")
+    for s in "ab":
+        pairs = pairs.withColumn(f"salt_{s}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"salts_{s}") - 1)))
+    holders = members.join(copies, ["c1", "c2", "raw"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+    for s in "ab":
+        pairs = pairs.join(holders.select("c1", "c2", F.col("raw").alias(f"raw_{s}"), F.col("salt").alias(f"salt_{s}"), F.col("doc_id").alias(s)), ["c1", "c2", f"raw_{s}", f"salt_{s}"])
+    return pairs.where("a != b").select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
