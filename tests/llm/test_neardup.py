@@ -29,12 +29,12 @@ def corpus(seed=3, n=160):
     return rows + [(9001, "t", None), (9002, "t", "  "), (9003, None, "too short"), (rows[0][0], rows[0][1], rows[0][2])]
 
 
-@pytest.mark.parametrize("slices", [1, 3])
+@pytest.mark.parametrize("unit_bytes", [1 << 20, 1 << 12])
 @pytest.mark.parametrize(("threshold", "words"), [(0.6, 3), (0.8, 5)])
-def test_no_pair_is_lost(spark, slices, threshold, words):
+def test_no_pair_is_lost(spark, unit_bytes, threshold, words):
     rows = corpus()
     df = spark.createDataFrame([(*r, "x") for r in rows], "id bigint, title string, abstract string, key string")
-    pairs, members = neardup.similar_pairs(df, threshold, words, 30, slices=slices)
+    pairs, members = neardup.similar_pairs(df, threshold, words, 30, unit_bytes=unit_bytes)
     got = {tuple(r) for r in neardup.expand(pairs, members).collect()}
     assert got == brute({r[0]: r for r in rows}.values(), words, 30, threshold) and got
     links = {r["id"]: r["links"] for r in neardup.classes(pairs, members).collect()}
@@ -58,3 +58,27 @@ def test_very_long_texts(spark):
     df = spark.createDataFrame([(1, "a", " ".join(base)), (2, "a", " ".join(other))], "id bigint, title string, abstract string")
     pairs, members = neardup.similar_pairs(df, 0.8, 5, 30)
     assert [tuple(r) for r in neardup.expand(pairs, members).collect()] == [(1, 2)]
+
+
+def test_large_buckets_in_blocks(spark):
+    """Many different texts around one common sentence: every signature of it is a bucket beyond the block size."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    common = [rng.choice(words) for _ in range(40)]
+    rows = [(i, None, " ".join(common + [rng.choice(words) for _ in range(rng.choice([8, 12, 30]))])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, title string, abstract string")
+    pairs, members = neardup.similar_pairs(df, 0.6, 3, 30, block=7)
+    got = {tuple(r) for r in neardup.expand(pairs, members).collect()}
+    assert got == brute(rows, 3, 30, 0.6) and got
+
+
+def test_shuffle_partitions_change_nothing(spark):
+    rows = corpus(seed=8, n=60)
+    df = spark.createDataFrame(rows, "id bigint, title string, abstract string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for n in ("3", "960"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append({tuple(r) for r in neardup.similar_pairs(df, 0.6, 3, 30)[0].collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[1] and got[0]
