@@ -1,22 +1,23 @@
 """One consistent form for text that looks the same.
 
-``canonical_text`` rewrites a text so that two texts come out equal exactly when
-a reader cannot tell them apart:
+``canonical_text`` rewrites texts so that two come out equal exactly when a reader
+cannot tell them apart:
 
-1. forms of one character are unified: full-width forms, ligatures, accents
+1. *Forms* of one character are unified: full-width forms, ligatures, accents
    composed or combining, kinds of space, kinds of hyphen of one length, small
    Roman numerals and the micro sign; characters without width are dropped,
-   except the joiner inside an emoji sequence, which is visible;
-2. look-alike letters are repaired script-aware: a token with letters of more
-   than one script has its look-alikes rewritten to the script that its
-   *distinctive* letters (those with no twin elsewhere) belong to. Of the
-   possible readings the one that stands in the corpus vocabulary wins; the
-   dominant script of the token decides between readings that both stand there,
-   or when none does. A token of look-alikes only takes the script of the
-   distinctive letters of its text.
-
-Only distinctive letters and the vocabulary decide, and neither differs between
-two texts that look the same, so the form is the same for both.
+   except the joiner inside an emoji sequence, which is visible.
+2. *Repair*, script-aware: a token with letters of more than one script has its
+   look-alikes substituted by those of its dominant script (the one with most
+   letters that have no twin elsewhere, then with most letters), provided that the
+   result stands in the corpus vocabulary; else the next script is tried, else the token
+   stays. Tokens of one script are never touched. The vocabulary is every word
+   that some text of the corpus has in one script.
+3. *Classes.* What still looks the same (names no other text has, words that are
+   look-alikes from end to end) is told by the skeleton of a text, in which every
+   look-alike is its Latin twin. The texts of one skeleton take the form of one of
+   them: the one free of other alphabets if there is any, else the one with the fewest
+   mixed tokens, then the most frequent, then the least. So no token is ever given a spelling that the corpus doesn't have.
 
 Kept apart, because a reader can tell them apart: raised and lowered digits,
 different accents, dashes of other lengths, quotation marks, letter case, digits,
@@ -32,6 +33,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +65,7 @@ WIDTHLESS = "".join(
 )
 
 TO_LATIN = {**CYRILLIC, **GREEK, **ARMENIAN}
+_LATIN = str.maketrans(TO_LATIN)
 TWINS = frozenset(TO_LATIN.values())
 SCRIPTS = {"c": CYRILLIC, "g": GREEK, "a": ARMENIAN}
 FROM_LATIN = {k: {v: f for f, v in reversed(list(m.items()))} for k, m in SCRIPTS.items()}
@@ -88,12 +91,11 @@ _EMOJI = f"[{chr(0x2600)}-{chr(0x27BF)}{chr(0x1F000)}-{chr(0x1FAFF)}]"
 _JOINED = re.compile(f"({_EMOJI}[{chr(0xFE0F)}{chr(0x1F3FB)}-{chr(0x1F3FF)}]*){_JOINER}(?={_EMOJI})")
 _TOKEN = re.compile(rf"[^\W\d_]+(?:[{chr(0x300)}-{chr(0x36F)}]+[^\W\d_]*)*")
 _FOREIGN = re.compile(f"[{chr(0x370)}-{chr(0x58F)}{chr(0x1F00)}-{chr(0x1FFF)}]")
-_PLAIN = re.compile(r"[\x00-\x7f]*\Z")
 
 
 def unify_forms(text: str) -> str:
     """Step 1: one code point sequence for every form of the same characters."""
-    if _PLAIN.match(text):
+    if text.isascii():
         return text
     if _JOINER in text:
         text = _JOINED.sub(r"\1" + _KEEP, text)
@@ -132,8 +134,8 @@ def _distinctive(token: str) -> dict[str, int]:
 
 
 def skeleton(token: str) -> str:
-    """The token with every look-alike as its Latin twin."""
-    return unicodedata.normalize("NFC", "".join(TO_LATIN.get(c, c) for c in unicodedata.normalize("NFD", token)))
+    """The token, or text, with every look-alike as its Latin twin."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(_LATIN))
 
 
 def _reading(token: str, script: str) -> str:
@@ -145,40 +147,59 @@ def _reading(token: str, script: str) -> str:
     return unicodedata.normalize("NFC", "".join(back.get(c, c) for c in unicodedata.normalize("NFD", latin)))
 
 
-def _dominant(counts: dict[str, int]) -> str:
-    return min(counts, key=lambda s: (-counts[s], "lcga".index(s))) if counts else ""
+def _scripts(token: str) -> dict[str, int]:
+    """The letters of a token by script."""
+    counts: dict[str, int] = {}
+    for c in token:
+        if x := _script(_base(c)):
+            counts[x] = counts.get(x, 0) + 1
+    return counts
 
 
-def needs_repair(text: str) -> list[str]:
-    """The tokens of a unified text that have a look-alike to be decided on."""
-    if not _FOREIGN.search(text):
+def token_readings(token: str) -> list[str]:
+    """The readings of a mixed-script token, that of its dominant script first; none for any other token."""
+    letters = _scripts(token)
+    if len(letters) < 2:
         return []
-    return [t for t in _TOKEN.findall(text) if any(_base(c) in TO_LATIN for c in t) or (any(_script(c) not in "l" for c in t) and any(_base(c) in TWINS for c in t))]
+    own = _distinctive(token)
+    order = sorted(letters, key=lambda s: (-own.get(s, 0), -letters[s], "lcga".index(s)))
+    return list(dict.fromkeys(_reading(token, s) for s in order))
 
 
-def readings(token: str) -> list[str]:
-    """The single-script readings of a token that could stand in the vocabulary, Latin first."""
-    return list(dict.fromkeys(_reading(token, s) for s in "lcga"))
+def wanted_words(text: str) -> list[str]:
+    """The words, in lower case, that the vocabulary is asked for before a unified text is repaired."""
+    if not _FOREIGN.search(text):
+        return []
+    return sorted({r.lower() for t in set(_TOKEN.findall(text)) for r in token_readings(t)})
 
 
 def repair_text(text: str, known: set[str] | frozenset[str]) -> str:
-    """Step 2 on a unified text; ``known``: readings that stand in the corpus vocabulary (case-folded)."""
-    if not _FOREIGN.search(text):
+    """Step 2 on a unified text; ``known``: the wanted words that stand in the corpus vocabulary."""
+    if not known or not _FOREIGN.search(text):
         return text
-    home = _dominant(_distinctive(text)) or "l"
+    return _TOKEN.sub(lambda m: next((r for r in token_readings(m.group()) if r.lower() in known), m.group()), text)
+
+
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text)
+
 
-    def fix(m: re.Match) -> str:
-        token = m.group()
-        counts = _distinctive(token)
-        if set(counts) == {"l"}:
-            return skeleton(token)
-        order = sorted(counts, key=lambda s: (-counts[s], "lcga".index(s))) or [home]
-        for s in order:
-            if (r := _reading(token, s)).casefold() in known:
-                return r
-        return _reading(token, order[0])
+_KIND = T.StructType([
+    T.StructField("look", T.BinaryType()),  # hash of the skeleton
+    T.StructField("form", T.BinaryType()),  # hash of the unified text
+    T.StructField("body", T.StringType()),  # the unified text if it has letters of another alphabet
+    T.StructField("wanted", T.ArrayType(T.StringType())),
+])
 
-    return _TOKEN.sub(fix, text)
+
+@F.pandas_udf(_KIND)
+def _kind_udf(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t in texts:
+        u = unify_forms(t)
+        form = _digest(u)
+        rows.append((_digest(skeleton(u)), form, u, wanted_words(u)) if _FOREIGN.search(u) else (form, form, None, []))
+    return pd.DataFrame(rows, columns=_KIND.names)
 
 
 @F.pandas_udf(T.StringType())
@@ -187,53 +208,70 @@ def unify_forms_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: None if t is None else unify_forms(t))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def doubtful_readings_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else sorted({r.casefold() for x in set(needs_repair(t)) for r in readings(x)}))
+@F.pandas_udf(T.StructType([T.StructField("unified", T.StringType()), T.StructField("form", T.BinaryType())]))
+def _unified_udf(texts: pd.Series) -> pd.DataFrame:
+    unified = [unify_forms(t) for t in texts]
+    return pd.DataFrame({"unified": unified, "form": [_digest(u) for u in unified]})
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def script_tokens_udf(texts: pd.Series) -> pd.Series:
-    """Tokens of one script only, as they stand: what the corpus vocabulary is counted from."""
+_REPAIRED = T.StructType([T.StructField("repaired", T.StringType()), T.StructField("plain", T.StringType()), T.StructField("mixed", T.IntegerType())])
 
-    def of(t: str | None) -> list[str]:
-        if t is None:
-            return []
-        return sorted({x.casefold() for x in set(_TOKEN.findall(t)) if len({_script(_base(c)) for c in x}) == 1})
 
-    return texts.map(of)
+@F.pandas_udf(_REPAIRED)
+def _repair_udf(texts: pd.Series, known: pd.Series) -> pd.DataFrame:
+    """The repaired text, its skeleton, and how many of its tokens are still of more than one script."""
+    repaired = [repair_text(t, frozenset(k if k is not None else ())) for t, k in zip(texts, known, strict=True)]
+    mixed = [sum(len(_scripts(x)) > 1 for x in _TOKEN.findall(r)) for r in repaired]
+    return pd.DataFrame({"repaired": repaired, "plain": [skeleton(r) for r in repaired], "mixed": mixed})
 
 
-@F.pandas_udf(T.StringType())
-def repair_udf(texts: pd.Series, known: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else repair_text(t, frozenset(k if k is not None else ())) for t, k in zip(texts, known, strict=True)], dtype=object)
+#: Letters of other alphabets, and two signs that become one.
+_MAY_BE_FOREIGN = "[\\u0370-\\u058f\\u1f00-\\u1fff\\u00b5\\u2126]"
+_WORDS = r"(?<![\p{L}\p{M}])(\p{IsLatin}+|\p{IsCyrillic}+|\p{IsGreek}+|\p{IsArmenian}+)(?![\p{L}\p{M}])"
+
+
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(token): every word, in lower case, that a row of ``texts`` (column text) has in letters of one script."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), 1))
+    return texts.select(F.explode(words).alias("token")).distinct()
+
+
+def _doubtful_forms(texts: DataFrame) -> DataFrame:
+    """(form, canonical) of the unified texts with letters of another alphabet."""
+    kinds = texts.select(_kind_udf("text").alias("k")).select("k.*").groupBy("look", "form").agg(
+        F.count("*").alias("n"), F.first("body").alias("body"), F.first("wanted").alias("wanted")
+    )
+    kinds = materialize(kinds)  # hashes, and the texts with other letters; read three times below
+    doubtful = kinds.where("body is not null")
+    asked = doubtful.select("form", F.explode("wanted").alias("token"))
+    known = asked.select("token").distinct().join(vocabulary(texts), "token", "left_semi")
+    found = asked.join(known, "token").groupBy("form").agg(F.collect_set("token").alias("known"))
+    repaired = doubtful.join(found, "form", "left").select("look", "form", "n", _repair_udf("body", "known").alias("r")).select("look", "form", "n", "r.*")
+    # the form that a class takes: free of other alphabets, else with the fewest mixed tokens, the most frequent, the least
+    free = kinds.where("body is null").select("look", F.lit(True).alias("free")).unionByName(
+        repaired.where(~F.col("repaired").rlike(_MAY_BE_FOREIGN)).select("look", F.lit(True).alias("free"))
+    ).distinct()
+    each = repaired.groupBy("look", "repaired", "mixed").agg(F.sum("n").alias("n"))
+    best = each.groupBy("look").agg(F.min_by("repaired", F.struct("mixed", (-F.col("n")).alias("n"), "repaired")).alias("best"))
+    taken = repaired.join(free, "look", "left").join(best, "look", "left")
+    return taken.select("form", F.when(F.col("free"), F.col("plain")).otherwise(F.col("best")).alias("canonical"))
 
 
 def canonical_text(docs: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
     """``docs`` with the column ``out``: the consistent form of ``text``.
 
-    Texts without a letter of another alphabet (nearly all) end after step 1.
-    For the others the readings of their doubtful tokens are looked up in the
-    vocabulary of the whole corpus with one shuffled semi-join on the token;
-    nothing is broadcast.
+    Texts without a letter of another alphabet (nearly all) end after step 1, without a shuffle.
+    The words that the others ask for are looked up in the vocabulary of the whole corpus with one
+    shuffled semi-join on the word; nothing is broadcast.
     """
-    unified = materialize(docs.withColumn(out, unify_forms_udf(F.col(text))))  # read five times below
-    doubtful = unified.where(F.col(out).rlike("[\\u0370-\\u058f\\u1f00-\\u1fff]"))
-    wanted = doubtful.select(F.explode(doubtful_readings_udf(F.col(out))).alias("token")).distinct()
-    # a word can stand in the vocabulary only if some text has it in one script
-    vocabulary = unified.select(F.explode(script_tokens_udf(F.col(out))).alias("token")).distinct()
-    known = wanted.join(vocabulary, "token", "left_semi")
-    key = "_lookalike_key"
-    hashed = doubtful.select(F.sha2(out, 256).alias(key), F.col(out)).dropDuplicates([key])
-    found = (
-        hashed.select(key, F.explode(doubtful_readings_udf(F.col(out))).alias("token"))
-        .join(known, "token")
-        .groupBy(key)
-        .agg(F.collect_set("token").alias("_known"))
-    )
-    repaired = hashed.join(found, key, "left").select(key, repair_udf(F.col(out), F.col("_known")).alias("_repaired"))
-    joined = unified.withColumn(key, F.when(F.col(out).rlike("[\\u0370-\\u058f\\u1f00-\\u1fff]"), F.sha2(out, 256))).join(repaired, key, "left")
-    return joined.withColumn(out, F.coalesce("_repaired", out)).drop(key, "_repaired")
+    forms = _doubtful_forms(docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")))
+    forms = forms.select(F.col("form").alias("_lookalike_form"), F.col("canonical").alias("_lookalike_text"))
+    other = F.coalesce(F.col(text).rlike(_MAY_BE_FOREIGN), F.lit(False))
+    plain = docs.where(~other).withColumn(out, unify_forms_udf(F.col(text)))
+    rest = docs.where(other).withColumn("_lookalike", _unified_udf(F.col(text)))
+    rest = rest.join(forms, F.col("_lookalike.form") == F.col("_lookalike_form"), "left")
+    rest = rest.withColumn(out, F.coalesce("_lookalike_text", "_lookalike.unified")).drop("_lookalike", "_lookalike_form", "_lookalike_text")
+    return plain.unionByName(rest.select(*plain.columns))
 
 
 COPIES = 10_000  # of one text, from which they are spread over several keys

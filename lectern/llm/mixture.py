@@ -84,10 +84,11 @@ def pivotal(fraction: np.ndarray, weight: np.ndarray, draws: np.ndarray) -> np.n
     eps = 1e-12
     open_ = [i for i in range(len(p)) if eps < p[i] < 1 - eps]
     p[p <= eps], p[p >= 1 - eps] = 0.0, 1.0
-    if not open_:
-        return p
-    i = open_[0]
-    for at, j in enumerate(open_[1:]):
+    i = None  # the entry whose fraction is carried on
+    for at, j in enumerate(open_):
+        if i is None:
+            i = j
+            continue
         # mass to j, at most what i has or j takes; or to i
         up = min(p[i] * weight[i], (1 - p[j]) * weight[j])
         down = min((1 - p[i]) * weight[i], p[j] * weight[j])
@@ -95,17 +96,9 @@ def pivotal(fraction: np.ndarray, weight: np.ndarray, draws: np.ndarray) -> np.n
             p[i], p[j] = p[i] - up / weight[i], p[j] + up / weight[j]
         else:
             p[i], p[j] = p[i] + down / weight[i], p[j] - down / weight[j]
-        done_i, done_j = not eps < p[i] < 1 - eps, not eps < p[j] < 1 - eps
         for x in (i, j):
             p[x] = 0.0 if p[x] <= eps else 1.0 if p[x] >= 1 - eps else p[x]
-        if done_i and not done_j:
-            i = j
-        elif done_i and done_j:
-            rest = [x for x in open_[at + 2 :]]
-            if rest:
-                q = pivotal(p[rest], weight[rest], draws[at + 1 :])
-                p[rest] = q
-            return p
+        i = next((x for x in (i, j) if 0 < p[x] < 1), None)  # both can settle at once
     return p
 
 
@@ -120,14 +113,18 @@ def _round_block(seed: int, level: int):
 
 
 def draw_mixture(
-    docs: DataFrame, targets: DataFrame, size: int | None = None, seed: int = 0, vocabulary: str = DEFAULT_VOCABULARY, leaf: int = LEAF
+    docs: DataFrame, targets: DataFrame, size: int | None = None, seed: int = 0, vocabulary: str = DEFAULT_VOCABULARY, leaf: int = LEAF, negligible: float = 0.05
 ) -> DataFrame:
-    """(doc_id, copy_no, source, tokens, copies) of every document of a targeted source; ``copies`` may be 0."""
+    """(doc_id, copy_no, source, tokens, copies) of every document of a targeted source; ``copies`` may be 0.
+
+    ``negligible`` (only where ``size`` is left out): a source that can't supply this part of its share of a mixture of
+    the corpus's size doesn't limit the size; at 0 every source with a document does, so all meet their relative shares.
+    """
     from lectern.session import materialize
 
-    sized = sized_documents(docs, vocabulary).join(docs.where("source is not null").select("doc_id", "source").distinct(), "doc_id")
+    sized = sized_documents(docs.where("source is not null"), vocabulary, "source")
     sized = materialize(sized.select("doc_id", "copy_no", "source", "tokens"))
-    plan = _plan(sized, targets, size)
+    plan = _plan(sized, targets, size, negligible)
     spark = docs.sparkSession
     rows = [(s, float(np.floor(c + 1e-9)), float(max(0.0, c - np.floor(c + 1e-9))), int(max(1, -(-n // leaf)))) for s, (c, n) in plan.items()]
     expected = spark.createDataFrame(rows, "source string, whole double, fraction double, leaves bigint")
@@ -157,7 +154,7 @@ def draw_mixture(
     return done.select("doc_id", "copy_no", "source", "tokens", (F.col("whole") + F.col("fraction")).cast("int").alias("copies"))
 
 
-def _plan(sized: DataFrame, targets: DataFrame, size: int | None) -> dict[str, tuple[float, int]]:
+def _plan(sized: DataFrame, targets: DataFrame, size: int | None, negligible: float) -> dict[str, tuple[float, int]]:
     """Expected copies and number of documents by source; the driver sees one row a source that has a target."""
     wanted = targets.where("source is not null").groupBy("source").agg(
         F.sum(F.greatest(F.lit(0.0), F.coalesce("target_share", F.lit(0.0)))).alias("t"),
@@ -167,7 +164,7 @@ def _plan(sized: DataFrame, targets: DataFrame, size: int | None) -> dict[str, t
     rows = wanted.join(per, "source", "left").collect()
     share = sum(r["t"] for r in rows) or 1.0
     shares, tokens = {r["source"]: (r["t"] / share, r["cap"]) for r in rows}, {r["source"]: r["tokens"] or 0 for r in rows}
-    copies = target_copies(shares, tokens, size if size is not None else balanced_size(shares, tokens))
+    copies = target_copies(shares, tokens, size if size is not None else balanced_size(shares, tokens, negligible))
     return {r["source"]: (copies[r["source"]], r["n"]) for r in rows if r["source"] in copies}
 
 

@@ -146,11 +146,11 @@ def _pack_block(block: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def sized_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc_id, copy_no, tokens) of the documents that have a token; text is read once and left behind."""
-    sized = docs.where("text is not null and doc_id is not null").select("doc_id", n_tokens(F.col("text"), vocabulary).alias("tokens"))
+def sized_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, *carry: str) -> DataFrame:
+    """(doc_id, *carry, copy_no, tokens) of the documents that have a token; text is read once and left behind."""
+    sized = docs.where("text is not null and doc_id is not null").select("doc_id", *carry, n_tokens(F.col("text"), vocabulary).alias("tokens"))
     sized = sized.where("tokens > 0")
-    return sized.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("tokens")).cast("int"))
+    return sized.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("tokens", *carry)).cast("int"))
 
 
 def assign_containers(docs: DataFrame, capacities: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, windows: int = 192) -> DataFrame:

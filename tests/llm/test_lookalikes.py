@@ -10,10 +10,25 @@ def test_forms():
     assert unify_forms(woman) == woman and unify_forms("a‍b") == "ab" and unify_forms("") == ""
 
 
-def test_scripts():
-    assert repair_text("hеllo", KNOWN) == "hello" and repair_text("сосна", KNOWN) == "сосна"
-    assert repair_text("cоснa", KNOWN) == "сосна"  # Latin letters in a Cyrillic word
-    assert repair_text("А", set()) == "A" and repair_text("рарег это", KNOWN).endswith("это")
+def test_only_mixed_tokens_that_the_vocabulary_knows_are_repaired():
+    assert repair_text("h\u0435llo", KNOWN) == "hello" and repair_text("h\u0435llo", set()) == "h\u0435llo" and repair_text("h\u0435llo", {"paper"}) == "h\u0435llo"
+    assert repair_text("c\u043e\u0441\u043da", KNOWN) == "\u0441\u043e\u0441\u043d\u0430"  # Latin letters in a Cyrillic word
+    assert repair_text("\u0410", {"a"}) == "\u0410"  # of one script
+    assert repair_text("\u0440\u0430\u0440\u0435r", {"paper", "\u0440\u0430\u0440\u0435r"}) == "paper"
+
+
+def test_the_vocabulary_decides(spark):
+    """One word with and without a text that has it in one script: only then is it repaired beyond its class."""
+    def of(rows):
+        return {r["doc_id"]: r["canonical"] for r in canonical_text(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+    mixed = "the h\u0435llo there"
+    assert of([(1, mixed), (2, "other words")])[1] == mixed
+    assert of([(1, mixed), (2, "hello again")])[1] == "the hello there"
+    # without the vocabulary the class still has one form: the one free of other alphabets, else the most frequent
+    assert set(of([(1, "x\u0435rb"), (2, "xerb")]).values()) == {"xerb"}
+    got = of([(1, "x\u0435\u0436b"), (2, "x\u0435\u0436b"), (3, "xe\u0436b")])
+    assert set(got.values()) == {"x\u0435\u0436b"}
 
 
 def test_pairs(spark):

@@ -82,3 +82,22 @@ def test_mixture_meets_the_shares(spark):
     key = lambda d: sorted((r["doc_id"], r["copies"]) for r in d.collect())
     assert key(drawn) == key(again)
     assert draw_mixture(docs(spark, rows[:0]), targets).count() == 0 and draw_mixture(docs(spark, rows), targets.limit(0)).count() == 0
+
+
+def test_equal_weights_settle_in_pairs(spark):
+    """Equal weights at one half: both entries of every meeting settle at once, thousands of times."""
+    n = 4096
+    q = pivotal(np.full(n, 0.5), np.full(n, 7.0), np.random.default_rng(1).random(n))
+    assert set(q) == {0.0, 1.0} and q.sum() == n / 2
+    rows = [(i, "same words in each", "big") for i in range(3000)]
+    targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
+    each = count_tokens("same words in each")
+    drawn = draw_mixture(docs(spark, rows), targets, size=1500 * each)
+    assert drawn.agg({"copies": "sum"}).first()[0] == 1500
+
+
+def test_an_id_under_two_sources_stays_two_documents(spark):
+    rows = [(1, "some words", "a"), (1, "other words here", "b"), (2, "more", "b")]
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    drawn = draw_mixture(docs(spark, rows), targets, size=20).collect()
+    assert sorted((r["doc_id"], r["source"]) for r in drawn) == [(1, "a"), (1, "b"), (2, "b")]
