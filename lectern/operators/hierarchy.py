@@ -7,49 +7,51 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import materialize
+
 
 def _edges(collections: DataFrame) -> DataFrame:
     return collections.select("collection_id", "parent_collection_id", "collection_name").dropDuplicates(["collection_id"])
 
 
-def descendants(collections: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """(root_id, collection_id, depth): every collection below each root, the root itself at depth 0, each once.
+def ancestors(collections: DataFrame) -> DataFrame:
+    """(collection_id, ancestor_id, distance): every collection with itself and all above it, each once, at any depth.
 
-    A recursive query in SQL, so the plan stays one; the array of visited ids stops cycles.
+    By doubling: a round joins what is known up to distance d with itself, so a tree of depth n takes about log2(n)
+    rounds, each a join on ids; a cycle adds no new pair and ends like a root. The rows are as many as the closure has.
     """
-    spark = collections.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE tree(root_id, collection_id, depth, seen) MAX RECURSION LEVEL 100 AS (
-            SELECT collection_id, collection_id, 0, array(collection_id) FROM {{roots}}
-            UNION ALL
-            SELECT t.root_id, c.collection_id, t.depth + 1, array_append(t.seen, c.collection_id)
-            FROM tree t JOIN {{edges}} c ON c.parent_collection_id = t.collection_id
-            WHERE NOT array_contains(t.seen, c.collection_id) AND t.depth < {int(depth)}
-        )
-        SELECT root_id, collection_id, min(depth) AS depth FROM tree GROUP BY root_id, collection_id
-        """,
-        roots=roots.select("collection_id").distinct(), edges=_edges(collections),
-    )
+    own = _edges(collections)
+    ids = own.select(F.col("collection_id").alias("x"))
+    step = own.select(F.col("collection_id").alias("a"), F.col("parent_collection_id").alias("b")).where("b is not null and a != b")
+    step = step.join(ids, step["b"] == ids["x"], "left_semi").select("a", "b", F.lit(1).alias("d"))
+    known, size, reach = materialize(step), None, 1
+    while True:
+        n = known.count()
+        if n == size:
+            break
+        size = n
+        # pairs at the frontier of the last round reach on; all shorter ones have been composed already
+        x = known.where(F.col("d") >= (reach + 1) // 2)
+        longer = x.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b", (F.col("x.d") + F.col("y.d")).alias("d"))
+        known = materialize(known.unionByName(longer.where("a != b")).groupBy("a", "b").agg(F.min("d").alias("d")))
+        reach *= 2
+    self_ = own.select(F.col("collection_id").alias("a"), F.col("collection_id").alias("b"), F.lit(0).alias("d"))
+    return self_.unionByName(known).select(F.col("a").alias("collection_id"), F.col("b").alias("ancestor_id"), F.col("d").alias("distance"))
+
 
+def descendants(collections: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root_id, collection_id, depth): every collection below each root, the root itself at depth 0, each once."""
+    wanted = roots.select(F.col("collection_id").alias("ancestor_id")).distinct()
+    below = ancestors(collections).join(wanted, "ancestor_id", "left_semi")
+    return below.select(F.col("ancestor_id").alias("root_id"), "collection_id", F.col("distance").alias("depth"))
 
-def paths(collections: DataFrame, depth: int = 64) -> DataFrame:
+
+def paths(collections: DataFrame) -> DataFrame:
     """(collection_id, path, n_levels): names from the root down; a missing parent or a cycle ends the path."""
-    spark = collections.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up(collection_id, next_id, names, seen) MAX RECURSION LEVEL 100 AS (
-            SELECT collection_id, parent_collection_id, array(collection_name), array(collection_id) FROM {{edges}}
-            UNION ALL
-            SELECT u.collection_id, c.parent_collection_id, array_prepend(u.names, c.collection_name), array_append(u.seen, c.collection_id)
-            FROM up u JOIN {{edges}} c ON c.collection_id = u.next_id
-            WHERE NOT array_contains(u.seen, c.collection_id) AND size(u.seen) < {int(depth)}
-        )
-        SELECT collection_id, array_join(max_by(names, size(names)), ' / ') AS path, max(size(names)) AS n_levels
-        FROM up GROUP BY collection_id
-        """,
-        edges=_edges(collections),
-    )
+    names = _edges(collections).select(F.col("collection_id").alias("ancestor_id"), "collection_name")
+    up = ancestors(collections).join(names, "ancestor_id")
+    levels = up.groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("o"), "collection_name"))).alias("x"))
+    return levels.select("collection_id", F.array_join(F.transform("x", lambda v: v["collection_name"]), " / ").alias("path"), F.size("x").alias("n_levels"))
 
 
 def resolve_specs(collections: DataFrame, specs: Sequence[str]) -> DataFrame:

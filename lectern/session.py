@@ -28,12 +28,15 @@ def build_session(app: str = "lectern", master: str | None = None, **conf: str)
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of the session.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where neither that
-    setting nor a checkpoint folder exists (tests, a notebook) is a temporary one made.
+    The folder is the one in ``spark.checkpoint.dir``. Where neither that setting nor
+    a checkpoint folder exists, a local session (tests, a notebook) gets a temporary
+    one and any other is refused: a folder of one machine is none for a cluster.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
     return df.checkpoint(eager=True)

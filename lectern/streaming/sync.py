@@ -1,9 +1,8 @@
 """Structured Streaming forms of the incremental operators.
 
 * ``replay_stream``: a mutation log to the live state of each key, by foreachBatch
-  upserts into a versioned table: each batch writes the next version, then a
-  one-line pointer moves, so a reader never sees half a batch and a batch that is
-  run again after a failure gives the same version.
+  upserts into a versioned table: each batch writes the next version, then the
+  version's marker, so a reader never sees half a batch and a crash loses none.
 * ``windowed_counts``: event-time windows with a watermark.
 """
 
@@ -29,10 +28,12 @@ def windowed_counts(events: DataFrame, time: str, by: Sequence[str], width: str
 
 
 class VersionedTable:
-    """A folder of numbered table states and a pointer to the current one."""
+    """A folder of numbered table states. A version counts from the moment its marker file stands, which is written last
+    and whole by a rename; markers are never taken away before a newer one stands, so a crash at any point leaves the
+    last complete version in place."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
         jvm = spark.sparkContext._jvm
         self._root = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -40,10 +41,15 @@ class VersionedTable:
     def _at(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
+    def versions(self) -> list[int]:
+        if not self._fs.exists(self._root):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
+        return sorted(int(n[len("done-") :]) for n in names if n.startswith("done-") and n[len("done-") :].isdigit())
+
     def version(self) -> int | None:
-        if not self._fs.exists(self._at("current")):
-            return None
-        return int(self.spark.read.text(f"{self.path}/current").first()["value"])
+        found = self.versions()
+        return found[-1] if found else None
 
     def read(self) -> DataFrame | None:
         v = self.version()
@@ -51,9 +57,13 @@ class VersionedTable:
 
     def write(self, state: DataFrame, version: int) -> None:
         state.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/next")
-        self._fs.delete(self._at("current"), True)
-        self._fs.rename(self._at("next"), self._at("current"))
+        self._fs.create(self._at(f"_next-{version}"), True).close()
+        if not self._fs.exists(self._at(f"done-{version}")):
+            self._fs.rename(self._at(f"_next-{version}"), self._at(f"done-{version}"))
+        self._fs.delete(self._at(f"_next-{version}"), False)
+        for old in self.versions()[: -self.keep]:
+            self._fs.delete(self._at(f"done-{old}"), False)  # the marker first: a state is never readable in part
+            self._fs.delete(self._at(f"v{old}"), True)
 
 
 def replay_stream(log: DataFrame, target: VersionedTable, key: str, seq: Sequence[str], removing: Column, checkpoint: str, available_now: bool = True) -> StreamingQuery:
