@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -93,15 +94,20 @@ _TOKEN = re.compile(rf"[^\W\d_]+(?:[{chr(0x300)}-{chr(0x36F)}]+[^\W\d_]*)*")
 _FOREIGN = re.compile(f"[{chr(0x370)}-{chr(0x58F)}{chr(0x1F00)}-{chr(0x1FFF)}]")
 
 
+_OTHER = re.compile("[" + "".join(map(re.escape, map(chr, _TABLE))) + "]")
+
+
 def unify_forms(text: str) -> str:
     """Step 1: one code point sequence for every form of the same characters."""
     if text.isascii():
         return text
     if _JOINER in text:
         text = _JOINED.sub(r"\1" + _KEEP, text)
-    text = unicodedata.normalize("NFC", text).translate(_TABLE)
-    # dropping a character between a letter and its accent can make them compose
     text = unicodedata.normalize("NFC", text)
+    text, n = _OTHER.subn(lambda m: _TABLE[ord(m.group())] or "", text)
+    if n:
+        # dropping a character between a letter and its accent can make them compose
+        text = unicodedata.normalize("NFC", text)
     return text.replace(_KEEP, _JOINER)
 
 
@@ -133,14 +139,19 @@ def _distinctive(token: str) -> dict[str, int]:
     return counts
 
 
-def skeleton(token: str) -> str:
-    """The token, or text, with every look-alike as its Latin twin."""
+@lru_cache(maxsize=1 << 16)
+def _latin(token: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(_LATIN))
 
 
+def skeleton(text: str) -> str:
+    """A unified text with every look-alike as its Latin twin."""
+    return _TOKEN.sub(lambda m: t if (t := m.group()).isascii() else _latin(t), text)
+
+
 def _reading(token: str, script: str) -> str:
     """The token with its look-alikes in one script; those without a letter there stay Latin."""
-    latin = skeleton(token)
+    latin = _latin(token)
     if script == "l" or script not in SCRIPTS:
         return latin
     back = FROM_LATIN[script]
@@ -156,14 +167,17 @@ def _scripts(token: str) -> dict[str, int]:
     return counts
 
 
-def token_readings(token: str) -> list[str]:
+@lru_cache(maxsize=1 << 16)
+def token_readings(token: str) -> tuple[str, ...]:
     """The readings of a mixed-script token, that of its dominant script first; none for any other token."""
+    if token.isascii():
+        return ()
     letters = _scripts(token)
     if len(letters) < 2:
-        return []
+        return ()
     own = _distinctive(token)
     order = sorted(letters, key=lambda s: (-own.get(s, 0), -letters[s], "lcga".index(s)))
-    return list(dict.fromkeys(_reading(token, s) for s in order))
+    return tuple(dict.fromkeys(_reading(token, s) for s in order))
 
 
 def wanted_words(text: str) -> list[str]:
@@ -221,19 +235,19 @@ _REPAIRED = T.StructType([T.StructField("repaired", T.StringType()), T.StructFie
 def _repair_udf(texts: pd.Series, known: pd.Series) -> pd.DataFrame:
     """The repaired text, its skeleton, and how many of its tokens are still of more than one script."""
     repaired = [repair_text(t, frozenset(k if k is not None else ())) for t, k in zip(texts, known, strict=True)]
-    mixed = [sum(len(_scripts(x)) > 1 for x in _TOKEN.findall(r)) for r in repaired]
+    mixed = [sum(bool(token_readings(x)) for x in _TOKEN.findall(r)) for r in repaired]
     return pd.DataFrame({"repaired": repaired, "plain": [skeleton(r) for r in repaired], "mixed": mixed})
 
 
 #: Letters of other alphabets, and two signs that become one.
 _MAY_BE_FOREIGN = "[\\u0370-\\u058f\\u1f00-\\u1fff\\u00b5\\u2126]"
-_WORDS = r"(?<![\p{L}\p{M}])(\p{IsLatin}+|\p{IsCyrillic}+|\p{IsGreek}+|\p{IsArmenian}+)(?![\p{L}\p{M}])"
+_ONE_SCRIPT = r"^(\p{IsLatin}+|\p{IsCyrillic}+|\p{IsGreek}+|\p{IsArmenian}+)$"
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """(token): every word, in lower case, that a row of ``texts`` (column text) has in letters of one script."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), 1))
-    return texts.select(F.explode(words).alias("token")).distinct()
+    words = F.split(F.lower("text"), r"[^\p{L}\p{M}]+")
+    return texts.select(F.explode(words).alias("token")).distinct().where(F.col("token").rlike(_ONE_SCRIPT))
 
 
 def _doubtful_forms(texts: DataFrame) -> DataFrame:
@@ -246,7 +260,8 @@ def _doubtful_forms(texts: DataFrame) -> DataFrame:
     asked = doubtful.select("form", F.explode("wanted").alias("token"))
     known = asked.select("token").distinct().join(vocabulary(texts), "token", "left_semi")
     found = asked.join(known, "token").groupBy("form").agg(F.collect_set("token").alias("known"))
-    repaired = doubtful.join(found, "form", "left").select("look", "form", "n", _repair_udf("body", "known").alias("r")).select("look", "form", "n", "r.*")
+    repaired = doubtful.join(found, "form", "left").select("look", "form", "n", _repair_udf("body", "known").alias("r"))
+    repaired = materialize(repaired.select("look", "form", "n", "r.*"))  # texts with other letters only; read three times below
     # the form that a class takes: free of other alphabets, else with the fewest mixed tokens, the most frequent, the least
     free = kinds.where("body is null").select("look", F.lit(True).alias("free")).unionByName(
         repaired.where(~F.col("repaired").rlike(_MAY_BE_FOREIGN)).select("look", F.lit(True).alias("free"))
