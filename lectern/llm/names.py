@@ -5,10 +5,10 @@
    mark abbreviations. Field and order of the parts play no role from here on.
 2. *Units.* Spellings of the same tokens are one unit; all later work is between units.
 3. *Nicknames.* A short form is learned as another form of a name when nearly all
-   the surnames it stands with also stand with that name; common ones are given.
+   the surnames it stands with also stand with that name; none is built in.
 4. *Neighbourhood index.* A unit of two or more full tokens is entered under every
    (token, deletion of another token) pair - the symmetric-delete neighbourhood at
-   distance one; organisations under (deletion of a token, initials of the others).
+   distance one; a single token of six letters or more under its own deletions; organisations under (deletion of a token, initials of the others).
    Units that meet are compared by optimal assignment of their tokens, which allows
    equal tokens, nicknames, one typing error, abbreviations and initials, and
    refuses contradicting initials, and two names that are both established. A
@@ -23,7 +23,7 @@ Everything is joined on keys of single units or token pairs; nothing is broadcas
 and no group of rows is gathered in one task.
 
 Defined results: a spelling without a letter or digit is a class of its own, as is
-one of a single token; rows with equal names but different ids are linked; repeated rows
+one of a single short token; spellings two typing errors apart are linked only over a third between them; rows with equal names but different ids are linked; repeated rows
 of an id count once; null fields are empty; over-long names are treated alike.
 """
 
@@ -50,20 +50,6 @@ KINDS = frozenset(
     "university college academy school faculty department institute institution laboratory centre center museum library archive archives observatory "
     "society association commission committee council foundation trust agency office ministry bureau company corporation group union federation press hospital clinic".split()
 )
-# Short form -> name.
-NICKNAMES = {
-    "sasha": "alexander", "alex": "alexander", "sandy": "alexander", "sanna": "susanna", "sue": "susan", "ned": "edmund", "ted": "theodore", "theo": "theodore",
-    "peggy": "margaret", "maggie": "margaret", "meg": "margaret", "greta": "greta", "bill": "william", "will": "william", "billy": "william", "percy": "percival",
-    "ginny": "genevieve", "zack": "zacharias", "kolya": "nikolai", "nick": "nicholas", "lisbeth": "elisabeth", "liz": "elizabeth", "beth": "elizabeth", "misha": "mikael",
-    "mike": "michael", "matz": "matthias", "matt": "matthew", "lena": "magdalena", "kit": "christopher", "chris": "christopher", "hattie": "harriet", "vinnie": "vincent",
-    "vince": "vincent", "bart": "bartholomew", "josie": "josephine", "rod": "roderick", "katya": "katarina", "bella": "isabella", "pippa": "philippa", "bob": "robert",
-    "rob": "robert", "bobby": "robert", "greg": "gregory", "kitty": "catherine", "kate": "catherine", "cathy": "catherine", "nell": "eleanor", "max": "maximilian",
-    "ferdi": "ferdinand", "tilda": "mathilda", "bastian": "sebastian", "poldi": "leopold", "leo": "leopold", "dora": "dorothea", "toni": "antonia", "tony": "anthony", "miri": "mirjam",
-    "gabe": "gabriel", "tim": "timothy", "fritz": "frederick", "fred": "frederick", "balto": "balthasar", "toby": "tobias", "vera": "veronica", "sanyi": "sandor",
-    "freddie": "winifred", "minna": "wilhelmina", "mina": "wilhelmina", "dick": "richard", "rick": "richard", "jim": "james", "jack": "john", "joe": "joseph",
-    "tom": "thomas", "dan": "daniel", "dave": "david", "sam": "samuel", "ben": "benjamin", "ed": "edward", "steve": "stephen", "andy": "andrew", "ken": "kenneth", "harry": "henry",
-}
-
 PARSED = T.StructType([
     T.StructField("kind", T.StringType()),
     T.StructField("tokens", T.ArrayType(T.StringType())),  # full tokens, sorted
@@ -73,6 +59,10 @@ PARSED = T.StructType([
 ])
 
 
+#: Letters from which a name of one token is compared with others of one token.
+LONE = 6
+
+
 def fold(text: str) -> str:
     text = unicodedata.normalize("NFKD", text)
     text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
@@ -154,22 +144,61 @@ def assign(a: list[str], b: list[str], short_a: set[str], short_b: set[str]) ->
     """The least total cost of matching every token of the shorter name to one of the longer, and the matches."""
     if len(a) > len(b):
         a, b, short_a, short_b = b, a, short_b, short_a
-    if len(a) > 10:
-        a, b = a[:], b[:]  # very long names: equal tokens first, the rest in order
-        same = [x for x in a if x in b]
-        rest = [(x, y) for x, y in zip([x for x in a if x not in same], [y for y in b if y not in same], strict=False)]
-        return sum(token_cost(x, y, x in short_a, y in short_b) for x, y in rest), [(x, x) for x in same] + rest
-    best: dict[int, tuple[float, list[tuple[str, str]]]] = {0: (0.0, [])}
+    # equal tokens first: an exchange of partners never makes them cheaper
+    pairs, rest = [], list(b)
+    left = []
     for x in a:
-        step: dict[int, tuple[float, list[tuple[str, str]]]] = {}
-        for mask, (cost, pairs) in best.items():
-            for j, y in enumerate(b):
-                if not mask >> j & 1 and (c := cost + token_cost(x, y, x in short_a, y in short_b)) < step.get(mask | 1 << j, (float("inf"),))[0]:
-                    step[mask | 1 << j] = (c, [*pairs, (x, y)])
-        best = step
-        if not best:
-            return float("inf"), []
-    return min(best.values(), key=lambda v: v[0])
+        if x in rest:
+            rest.remove(x)
+            pairs.append((x, x))
+        else:
+            left.append(x)
+    if not left:
+        return 0.0, pairs
+    costs = [[token_cost(x, y, x in short_a, y in short_b) for y in rest] for x in left]
+    if any(min(row) == float("inf") for row in costs):
+        return float("inf"), []
+    total, match = least_assignment(costs)
+    return total, pairs + [(left[i], rest[j]) for i, j in enumerate(match)] if total < float("inf") else []
+
+
+def least_assignment(costs: list[list[float]]) -> tuple[float, list[int]]:
+    """(total, column of each row) of the cheapest assignment of all rows to different columns, by augmenting along
+    shortest paths over potentials: cubic in the number of rows, at any number."""
+    big = 1e6
+    n, m = len(costs), len(costs[0])
+    u, v = [0.0] * (n + 1), [0.0] * (m + 1)
+    owner = [0] * (m + 1)  # row (from 1) of each column
+    for i in range(1, n + 1):
+        owner[0], j0 = i, 0
+        slack, via, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while True:
+            done[j0] = True
+            row, delta, j1 = owner[j0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not done[j]:
+                    reduced = min(costs[row - 1][j - 1], big) - u[row] - v[j]
+                    if reduced < slack[j]:
+                        slack[j], via[j] = reduced, j0
+                    if slack[j] < delta:
+                        delta, j1 = slack[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                else:
+                    slack[j] -= delta
+            j0 = j1
+            if not owner[j0]:
+                break
+        while j0:
+            owner[j0] = owner[via[j0]]
+            j0 = via[j0]
+    match = [0] * n
+    for j in range(1, m + 1):
+        if owner[j]:
+            match[owner[j] - 1] = j - 1
+    return sum(costs[i][j] for i, j in enumerate(match)), match
 
 
 def deletions(token: str) -> set[str]:
@@ -204,13 +233,18 @@ def same_entity(a: dict, b: dict) -> bool:
     return True
 
 
+def _lone(names: list[str]) -> list[str]:
+    """Keys of a name of one token: its neighbourhood, if it is long enough for one typing error to leave it recognisable."""
+    return sorted({f"|{d}" for t in names if len(t) >= LONE for d in deletions(t)})
+
+
 def _keys(kind: str, names: list[str]) -> list[str]:
     if kind == "org":
         if len(names) < 2:
-            return []
+            return _lone(names)
         return sorted({d + "|" + "".join(sorted(o[0] for o in names if o != t)) for t in names for d in deletions(t)})
     if len(names) < 2:
-        return []
+        return _lone(names)
     return sorted({f"{v}|{d}" for t in names for v in variants(t) for u in names if u != t for d in deletions(u)})
 
 
@@ -286,15 +320,18 @@ def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> Data
     raise RuntimeError("components did not settle")
 
 
-def name_classes(creators: DataFrame) -> DataFrame:
-    """(creator_id, class_id): spellings of one person or organisation share the class."""
+def name_classes(creators: DataFrame, nicknames: dict[str, str] | None = None) -> DataFrame:
+    """(creator_id, class_id): spellings of one person or organisation share the class.
+
+    ``nicknames``: short forms known beforehand; all others, and by default all, are learned from the table.
+    """
     parse = F.pandas_udf(_parse, PARSED)
     rows = creators.where("creator_id is not null").select("creator_id", parse("first_name", "last_name").alias("p")).select("creator_id", "p.*")
     shape = ["kind", "tokens", "initials", "abbreviated"]
     parsed = materialize(rows.select("creator_id", *shape))
     units = materialize(parsed.groupBy(*shape).agg(F.min("creator_id").alias("unit"), F.count("*").alias("spellings")))
     # names with the short forms put back
-    given = creators.sparkSession.createDataFrame(sorted(NICKNAMES.items()), "short string, name string")
+    given = creators.sparkSession.createDataFrame(sorted((nicknames or {}).items()), "short string, name string")
     learned = learn_nicknames(units).join(given, "short", "left_anti")
     nick = given.unionByName(learned)
     full = units.where("kind = 'person'").select("unit", F.explode("tokens").alias("short")).join(nick, "short", "left")

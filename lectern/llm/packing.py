@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -34,6 +33,8 @@ from pyspark.sql.window import Window
 from lectern.llm.tokens import DEFAULT_VOCABULARY, n_tokens
 
 MOST_CAPACITIES = 1000
+#: Share of the windows of a block that a refill may touch.
+REFILL = 0.5
 SCHEMA = "capacity_id int, container_id string, doc_id bigint, copy_no int, part_no int, token_start bigint, tokens bigint"
 
 
@@ -88,20 +89,22 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def repair(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int) -> bool:
+def repair(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int, share: float = REFILL) -> bool:
     """Refill the windows above the capacity together with the roomiest others, in place; True if all then fit.
 
     The items of a growing set of windows (those above the capacity, then the
-    ones with the most room) are placed anew, from large to small, each where it
-    leaves the least room. Windows outside the set stay as differencing made them.
+    ones with the most room; at most ``share`` of all windows) are placed anew, from large to small, each
+    where it leaves the least room. Windows outside the set stay as differencing made them.
     """
     load = np.bincount(window, weights=sizes, minlength=k).astype(np.int64)
     over = int((load > capacity).sum())
     if not over:
         return True
+    if not share:
+        return False
     fullest = np.argsort(-load, kind="stable")
-    take = 2 * over
-    while True:
+    take, most = 2 * over, max(2, int(share * k))
+    while take <= most or take == 2:
         chosen = np.concatenate([fullest[:over], fullest[over:][::-1][: take - over]])
         inside = np.zeros(k, dtype=bool)
         inside[chosen] = True
@@ -119,26 +122,34 @@ def repair(sizes: np.ndarray, window: np.ndarray, k: int, capacity: int) -> bool
             for i, w in placed:
                 window[i] = w
             return True
-        if take >= k:
-            return False
-        take = min(k, 2 * take)
+        if take == most:
+            break
+        take = min(most, 2 * take)
+    return False
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item (none above the capacity); as few windows as differencing reaches."""
+def pack(sizes: np.ndarray, capacity: int, refill: bool = True) -> np.ndarray:
+    """The window of each item (none above the capacity); as few windows as differencing, and the refill if asked for, reaches."""
     if not len(sizes):
         return np.zeros(0, dtype=np.int64)
     k = max(1, ceil(int(sizes.sum()) / capacity), int((sizes * 2 > capacity).sum()))
     while True:
         window = differencing(sizes, k)
-        if repair(sizes, window, k, capacity):
+        if repair(sizes, window, k, capacity, REFILL if refill else 0):
             return window
         k = min(len(sizes), k + 1)
 
 
-def _pack_block(block: pd.DataFrame) -> pd.DataFrame:
+def _pack_block(refill: bool):
+    def of(block: pd.DataFrame) -> pd.DataFrame:
+        return _packed(block, refill)
+
+    return of
+
+
+def _packed(block: pd.DataFrame, refill: bool) -> pd.DataFrame:
     block = block.sort_values(["tokens", "doc_id", "copy_no", "part_no"], ascending=[False, True, True, True], kind="stable")
-    window = pack(block["tokens"].to_numpy(dtype=np.int64), int(block["capacity_tokens"].iloc[0]))
+    window = pack(block["tokens"].to_numpy(dtype=np.int64), int(block["capacity_tokens"].iloc[0]), refill)
     name = f"{int(block['capacity_id'].iloc[0])}-{int(block['block'].iloc[0])}-"
     return pd.DataFrame({
         "capacity_id": block["capacity_id"], "container_id": [name + str(w) for w in window], "doc_id": block["doc_id"],
@@ -153,7 +164,7 @@ def sized_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, *carr
     return sized.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("tokens", *carry)).cast("int"))
 
 
-def assign_containers(docs: DataFrame, capacities: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, windows: int = 192) -> DataFrame:
+def assign_containers(docs: DataFrame, capacities: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, windows: int = 192, refill: bool = True) -> DataFrame:
     """One row per document (or part of a divided one) and capacity: its container and the tokens it takes there.
 
     ``windows``: about how many windows a block is to have. The number of blocks
@@ -191,7 +202,7 @@ def assign_containers(docs: DataFrame, capacities: DataFrame, vocabulary: str =
         (F.col("tokens") - F.col("full") * F.col("capacity_tokens")).cast("bigint").alias("tokens"),
     ).where("tokens > 0")
     rests = rests.withColumn("block", F.pmod(F.xxhash64("doc_id", "copy_no", "capacity_id"), F.col("blocks")))
-    packed = rests.groupBy("capacity_id", "block").applyInPandas(_pack_block, SCHEMA)
+    packed = rests.groupBy("capacity_id", "block").applyInPandas(_pack_block(refill), SCHEMA)
     return packed.unionByName(whole)
 
 

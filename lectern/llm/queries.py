@@ -61,6 +61,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return best.select("group_item_id", "field_name", "item_id")
 
 
+def p5_currency(spark: SparkSession, d: str) -> DataFrame:
+    """As p5_found, but entries without a time are placed by the learned precedence."""
+    best = survivors.survivors(table(spark, d, "zotero_items"), table(spark, d, "deleted_items"), undated="placed")
+    return best.select("group_item_id", "field_name", "item_id")
+
+
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return survivors.merged_records(table(spark, d, "zotero_items"), table(spark, d, "deleted_items"))
 
@@ -70,7 +76,10 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return packing.container_report(p6_containers(spark, d), table(spark, d, "pack_capacities"))
+    """Fill by capacity, for differencing alone and with the refill."""
+    docs, capacities = table(spark, d, "documents"), table(spark, d, "pack_capacities")
+    of = lambda refill, name: packing.container_report(packing.assign_containers(docs, capacities, refill=refill), capacities).withColumn("method", F.lit(name))
+    return of(False, "differencing").unionByName(of(True, "with refill"))
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,10 @@
-from lectern.llm.survivors import merged_records, survivors
+from pathlib import Path
+
+import pytest
+
+from lectern.llm.survivors import latest_values, levels, merged_records, survivors
+
+DATA = Path("/root/testdata/sf0.01")
 
 LONG = "The survey of the harbour was mapped before the archives could be dated in full."
 ROWS = [
@@ -36,3 +42,35 @@ def test_a_group_of_many_copies(spark):
     rows = [(i, "10.1234/hot", "A title of its own" if i % 2 else "A title", LONG, f"2020-01-{1 + i % 28:02d} 00:00:00") for i in range(600)]
     got = {r["field_name"]: r["item_id"] for r in survivors(frame(spark, rows)).collect()}
     assert got == {"title": 27, "abstract": 27}
+
+
+def test_stand_ins_are_learned(spark):
+    """A remark no list has, in works whose other entries differ; a true title of several works is none."""
+    rows = [(10 * g + k, f"10.1234/{g}", t, None, f"202{k}-01-01 00:00:00") for g in range(5) for k, t in enumerate([f"The history of harbour number {g}", "siehe unten"])]
+    rows += [(100 + 10 * g + k, f"10.9999/{g}", t, None, f"202{k}-01-01 00:00:00") for g in range(5) for k, t in enumerate(["A lasting title", "A lasting title"])]
+    got = {r["group_item_id"]: r["item_id"] for r in survivors(frame(spark, rows)).collect()}
+    assert got == {10 * g: 10 * g for g in range(5)} | {100 + 10 * g: 101 + 10 * g for g in range(5)}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_recall_without_any_given_word(spark):
+    items, trash = (spark.read.parquet(str(DATA / f"{t}.parquet")) for t in ("zotero_items", "deleted_items"))
+    row = lambda given: {tuple(r) for r in survivors(items, trash, given=given).select("group_item_id", "field_name", "item_id").collect()}
+    whole, learned = row(("untitled", "no title", "title missing", "untitled document", "ohne titel", "tba", "snapshot", "full text pdf", "n/a", "n.a", "none", "null", "tbd", "abstract", "see pdf", "keine angabe", "no abstract available", "résumé non disponible", "abstract not provided", "abstract unavailable for this entry")), row(())
+    assert len(whole & learned) >= 0.9 * len(whole)
+
+
+def test_levels_of_a_relation_with_a_cycle():
+    got = levels({("capitals", "plain"), ("plain", "markup"), ("markup", "plain"), ("markup", "stopped")})
+    assert got["capitals"] == (0, ["markup", "plain", "stopped"]) and got["stopped"][1] == [] and got["plain"] == (1, ["stopped"]) and got["stopped"][0] == 2
+
+
+def test_precedence_places_undated_entries(spark):
+    """Mark-up is always taken out later: an undated plain value follows a dated one with mark-up, and precedes nothing."""
+    rows = [(g, "title", i, 10 + i, v, shape) for g in range(20) for i, v, shape in ((2 * g, "<i>x</i>", "markup"), (2 * g + 1, "x", "plain"))]
+    rows += [(900, "title", 900, 50, "<i>y</i>", "markup"), (900, "title", 901, None, "y", "plain"), (901, "title", 910, 50, "z", "plain"), (901, "title", 911, None, "<i>z</i>", "markup")]
+    rows += [(902, "title", 920, None, "<i>w</i>", "markup"), (902, "title", 921, None, "w", "plain")]
+    values = spark.createDataFrame(rows, "group_item_id bigint, field_name string, item_id bigint, micros bigint, value string, shape string")
+    best = lambda undated: {r["group_item_id"]: r["item_id"] for r in latest_values(values, undated).collect() if r["group_item_id"] >= 900}
+    assert best("placed") == {900: 901, 901: 910, 902: 921}
+    assert best("earliest") == {900: 900, 901: 910, 902: 921}
