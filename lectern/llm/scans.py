@@ -49,8 +49,9 @@ SECTION_HEADINGS = frozenset(
     "acknowledgements acknowledgments appendix notes contents preface sources data analysis findings limitations literature".split()
 )
 #: Marks that break a word at the end of a line.
-BREAK = re.compile(r"([^\W\d_][^\s]*?)([-­¬‐‑])\s*$")
+BREAK = re.compile(r"[^\s]*?([^\W\d_][^\s]*?)([-­¬‐‑])")
 _MARKS = frozenset("-­¬‐‑")
+_ENDS = frozenset(".!?:\"”’)")
 _EDGE = "\"'“”‘’„«»()[]{}.,;:!?…–—*"
 _TABLE = re.compile(r"\s*[\d.,%OlI]+(?:\s{2,}[\d.,%OlI]+)+\s*$")
 _D = "[0-9OoQDlIi|!SsBZzGgqb]"
@@ -155,7 +156,7 @@ def cut_lines(text: str) -> tuple[list[str], list[str]]:
 def number_value(line: str) -> tuple[int, str] | None:
     """(value, form) of a line that can be a page number; value -1 where it can't be read."""
     s = line.strip()
-    if not s or len(s) > 24:
+    if not s:
         return None
     for k, form in enumerate(_NUMBER_FORMS):
         if m := form.fullmatch(s):
@@ -248,7 +249,7 @@ def find_furniture(lines: list[str], seps: list[str], title: str | None, creator
         if i in found:
             continue
         line = lines[i]
-        if "  " not in line.strip() or len(line) > 200:
+        if "  " not in line.strip():
             continue
         if (m := _GAP_HEAD.fullmatch(line)) and not _TABLE.match(line):
             text = m.group(2) or m.group(3)
@@ -257,16 +258,15 @@ def find_furniture(lines: list[str], seps: list[str], title: str | None, creator
                 found[i] = "header"
     widths = sorted(len(lines[i].rstrip()) for i in full)
     width = widths[int(0.9 * (len(widths) - 1))]
-    if width > 200:  # paragraphs on one line: not set in pages
-        return found
+    full_width = max(100, width)  # of the text itself, however wide it was set
     shorts, edge = [], {}
     title_start = own_title[:4]
     for i in full:
         if i in found or lines[i][0].isspace():
             continue
         s = lines[i].strip()
-        if len(s) > 100:
-            continue
+        if len(s) > full_width:
+            continue  # a whole line of running text, or a paragraph on one line
         at_edge = broken_before(i) or broken_after(i) or any(x is not None and x in found for x in (prev(i), next_(i)))
         if not at_edge and s.count(" ") > 5 and sum(map(str.isupper, s[:8])) < 4 and s[:4].casefold() != title_start:
             continue  # a line of running text
@@ -357,7 +357,7 @@ def split_edges(token: str) -> tuple[str, str, str]:
 
 def _wordish(word: str) -> bool:
     letters = sum(c.isalpha() for c in word)
-    return letters >= 1 and letters * 2 >= len(word) and len(word) <= 60
+    return letters >= 1 and letters * 2 >= len(word)
 
 
 class LineReader:
@@ -447,11 +447,11 @@ def broken_word(line: str, following: str, lex: Lexicon) -> tuple[str, str, str]
     """(the part here, the part on the following line, the whole word) if the last word of a line goes on there."""
     if line.rstrip()[-1:] not in _MARKS:
         return None
-    m = BREAK.search(line[-80:])
+    m = BREAK.fullmatch(line.split()[-1])
     nxt = following.split(None, 1)
     if not m or not nxt:
         return None
-    _, a, _ = split_edges(line[-80:][: m.end(1)].split()[-1])
+    _, a, _ = split_edges(m.group(1))
     tail = nxt[0]
     _, b, _ = split_edges(tail)
     if not a or not b or not a[-1].isalpha() or not (b[0].isalpha() or b[0] in "0158!"):
@@ -490,7 +490,7 @@ def examine(text: str, title: str | None, creators: str | None, reader: LineRead
             yield i + 1, "hyphen"
         if not _TABLE.match(line):
             tokens = line.split()
-            if reader.repair(tokens, starts or (i > 0 and not lines[i - 1].strip() and at > 0 and body[at - 1] == i - 2 and lines[body[at - 1]].rstrip()[-1:] in ".!?"), carried, bool(broken)):
+            if reader.repair(tokens, starts, carried, bool(broken)):
                 yield i + 1, "misread"
         carried = bool(broken)
         starts = line.rstrip()[-1:] in ".!?" or _is_heading(line) or bool(_TABLE.match(line))
@@ -504,7 +504,8 @@ def rebuild(text: str, title: str | None, creators: str | None, reader: LineRead
     paragraphs: list[list[str]] = []
     carry, starts = None, True  # carry: (rest of a broken word on this line, whole word)
     last = -1
-    wrapped = len(body) > 1 and sorted(len(lines[i]) for i in body)[len(body) // 2] < 200
+    # a text whose lines mostly end inside a sentence is wrapped; else every line is a paragraph
+    wrapped = len(body) > 1 and sum(lines[i].rstrip()[-1:] not in _ENDS for i in body) * 3 > len(body)
     for at, i in enumerate(body):
         line = lines[i]
         table = bool(_TABLE.match(line))

@@ -57,3 +57,22 @@ def test_operator_takes_nulls_repeats_and_clashing_columns(spark):
     assert {r["text"] for r in repaired_texts(items, lexicon).collect()} == {"the river was mapped"}
     assert damaged_lines(items.limit(0), lexicon).count() == 0 and damaged_lines(items, lexicon.limit(0)).count() == 0
     assert repaired_texts(items.where(F.lit(False)), lexicon).columns == ["item_id", "text"]
+
+
+def test_heads_are_found_at_any_width():
+    """The same page set narrow and with lines of 250 characters and more."""
+    line = "the river was mapped before the harbour could be dated with the survey of the archives"
+    for width in (1, 3, 5):
+        body = " ".join([line] * width) + "\n"
+        text = f"{body * 6}\n7\fTHE LONG RIVER\n{body * 6}\n8\fDoe et al.\n{body * 6}9"
+        got = defects(text, "The long river", "Doe, Jane")
+        assert {d for _, d in got} == {"page_number", "header"} and sum(d == "header" for _, d in got) == 2, width
+        assert "RIVER" not in rebuild(text, "The long river", "Doe, Jane", READER)
+
+
+def test_lines_and_paragraphs_agree():
+    """What is reported as misread is what the rebuilt text repairs."""
+    text = "The rivcr was mapped.\n\nHarb0ur could be dated with the arch-\nives in the surv3y of results.\n"
+    assert {n for n, d in defects(text) if d == "misread"} == {1, 3, 4}
+    out = rebuild(text, None, None, READER)
+    assert out == "The river was mapped.\n\nHarbour could be dated with the archives in the survey of results."
