@@ -147,11 +147,18 @@ def extra_value(extra: Column, *keys: str) -> Column:
     return F.when(v != "", v)
 
 
+# Words that mark an organisation.
+CORPORATE = (
+    "inc", "inc.", "llc", "ltd", "ltd.", "corp", "corp.", "gmbh", "ag ", "plc", "co.", "co ", "s.a.", "s.a", "university", "universität", "universite",
+    "universidad", "institute", "institut", "academy", "laboratory", "labs", "consortium", "foundation", "association", "society", "organization",
+    "organisation", "committee", "council", "group", "team", "college", "museum", "department", "ministry", "agency", "library", "archive", "observatory", "commission",
+)
+
+
 def corporate(c: Column) -> Column:
     """Whether a name looks like that of an organisation."""
-    marks = ("university", "institute", "laboratory", "college", "society", "museum", "foundation", "association", "committee", "council", "department", "ministry", "agency", "academy", "library", "archive", "observatory", "commission", "inc.", "ltd", "gmbh", "consortium", "group")
     padded = F.lower(F.concat(F.lit(" "), c, F.lit(" ")))
-    return F.coalesce(F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(padded, F.concat(F.lit(" "), m))), F.lit(False))
+    return F.coalesce(F.exists(F.array(*map(F.lit, CORPORATE)), lambda m: F.contains(padded, F.concat(F.lit(" "), m))), F.lit(False))
 
 
 def token_estimate(c: Column) -> Column:
@@ -178,4 +185,4 @@ def search_variants(query: str) -> list[str]:
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss")):
         spelled = spelled.replace(a, b)
     out.add(spelled)
-    return sorted(v for v in out if v.strip())[:15]
+    return sorted(v for v in out if v.strip())

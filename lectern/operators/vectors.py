@@ -81,31 +81,40 @@ def _supports(within: float, weights: tuple[float, ...], cap: float):
     def of(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["similarity", "vec_id"], ascending=[False, True], kind="stable")
         best = float(group["similarity"].iloc[0])
-        chosen: list[tuple[int, int]] = []
-        scores: list[float] = []
-        for r in group.itertuples(index=False):
-            if len(chosen) > len(weights) or r.similarity < best - within:
-                break
-            span = (int(r.start), int(r.end))
-            if all(_overlap(span, c) < 0.5 for c in chosen):
-                chosen.append(span)
-                scores.append(float(r.similarity))
-        bonus = min(cap, sum(w * max(0.0, s) for w, s in zip(weights, scores[1:], strict=False)))
-        return pd.DataFrame({"label": [group["label"].iloc[0]], "score": [round(min(1.0, best + bonus), 9)], "n_support": [len(chosen)]})
+        floor = max(0.0, best - within)
+        chosen = [group.iloc[0].to_dict()]
+        if best > 0:
+            for hit in group.iloc[1:].to_dict("records"):
+                if len(chosen) > len(weights) or hit["similarity"] < floor:
+                    break
+                if not any(_repeats(hit, c) for c in chosen):
+                    chosen.append(hit)
+        extra = sum(w * min(1.0, max(0.0, float(c["similarity"])) / best) for w, c in zip(weights, chosen[1:], strict=False)) if best > 0 else 0.0
+        score = round(min(1.0, best * (1 + min(cap, extra))), 9)
+        return pd.DataFrame({"label": [group["label"].iloc[0]], "score": [score], "n_support": [len(chosen)]})
 
     return of
 
 
-def _overlap(a: tuple[int, int], b: tuple[int, int]) -> float:
-    """Shared length over the shorter one."""
-    return max(0, min(a[1], b[1]) - max(a[0], b[0])) / max(1, min(a[1] - a[0], b[1] - b[0]))
+def _repeats(a: dict, b: dict) -> bool:
+    """Whether two hits say the same: of one kind, and equal in words or sharing half of the shorter one."""
+    kinds = a.get("kind"), b.get("kind")
+    if all(isinstance(k, str) and k for k in kinds) and kinds[0] != kinds[1]:
+        return False
+    texts = [" ".join(t.lower().split()) for t in (a.get("text"), b.get("text")) if isinstance(t, str)]
+    if len(texts) == 2 and texts[0] and texts[0] == texts[1]:
+        return True
+    shorter = min(a["end"] - a["start"], b["end"] - b["start"])
+    return shorter > 0 and max(0, min(a["end"], b["end"]) - max(a["start"], b["start"])) >= 0.5 * shorter
 
 
 def grouped_support(hits: DataFrame, within: float = 0.15, weights: tuple[float, ...] = (0.10, 0.05), cap: float = 0.15) -> DataFrame:
-    """(label, score, n_support): each parent's best hit, raised by further passages that are near it and don't overlap."""
-    return hits.select("label", "vec_id", "similarity", "start", "end").groupBy("label").applyInPandas(
-        _supports(within, weights, cap), "label int, score double, n_support int"
-    )
+    """(label, score, n_support): each parent's best hit, raised by further passages that are near it and don't repeat it.
+
+    ``hits`` has label, vec_id, similarity, start and end; ``kind`` and ``text`` count where they are given.
+    """
+    columns = ["label", "vec_id", "similarity", "start", "end", *[c for c in ("kind", "text") if c in hits.columns]]
+    return hits.select(*columns).groupBy("label").applyInPandas(_supports(within, weights, cap), "label int, score double, n_support int")
 
 
 # --- sets of queries -------------------------------------------------------------------------------------------

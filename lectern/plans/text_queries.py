@@ -112,7 +112,7 @@ def creator_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "creators").select("creator_id", library.creator_name(F.col("first_name"), F.col("last_name")).alias("name"))
 
 
-@query("SELECT creator_id, regexp_matches(lower(' ' || last_name || ' '), ' (university|institute|laboratory|college|society|museum|foundation|association|committee|council|department|ministry|agency|academy|library|archive|observatory|commission|inc\\.|ltd|gmbh|consortium|group)') AS corporate FROM creators")
+@query("SELECT creator_id, coalesce(list_bool_or([contains(lower(' ' || last_name || ' '), ' ' || m) FOR m IN [" + ", ".join(f"'{m}'" for m in text.CORPORATE) + "]]), false) AS corporate FROM creators")
 def corporate_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "creators").select("creator_id", text.corporate(F.col("last_name")).alias("corporate"))
 
@@ -203,13 +203,14 @@ def box_iou(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def region_merge(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.merge_regions(_boxes(spark, d).withColumn("priority", F.col("region")), 0.001, 0.9, 0.01, 0.8)
+    source = F.when(F.col("region") % 3 == 0, "table").when(F.col("region") % 3 == 1, "image").otherwise("drawing")
+    return geometry.merge_regions(_boxes(spark, d).withColumn("source", source), 0.001, 0.9, 0.01, 0.8)
 
 
 @query()
 def caption_match(spark: SparkSession, d: str) -> DataFrame:
     boxes = _boxes(spark, d)
-    captions = boxes.select("page_id", F.col("region").alias("caption"), "x", (F.col("y") + F.col("h") + 0.02).alias("y"), "w", F.lit(0.03).alias("h"))
+    captions = boxes.select("page_id", F.col("region").alias("caption"), F.when(F.col("region") % 3 == 0, "table").otherwise("figure").alias("kind"), "x", (F.col("y") + F.col("h") + 0.02).alias("y"), "w", F.lit(0.03).alias("h"))
     return geometry.match_captions(boxes, captions)
 
 

@@ -12,14 +12,28 @@ from pyspark.sql import functions as F
 
 # BibTeX entry type <-> item type.
 ITEM_TYPES = {
-    "article": "journalArticle", "book": "book", "inbook": "bookSection", "incollection": "bookSection", "inproceedings": "conferencePaper",
-    "conference": "conferencePaper", "phdthesis": "thesis", "mastersthesis": "thesis", "techreport": "report", "unpublished": "manuscript",
-    "misc": "document", "online": "webpage", "manual": "document", "proceedings": "book", "booklet": "book", "patent": "patent", "dataset": "dataset",
+    "article": "journalArticle", "book": "book", "booklet": "book", "inbook": "bookSection", "incollection": "bookSection", "suppbook": "bookSection",
+    "suppcollection": "bookSection", "inproceedings": "conferencePaper", "conference": "conferencePaper", "proceedings": "book", "phdthesis": "thesis",
+    "mastersthesis": "thesis", "thesis": "thesis", "techreport": "report", "report": "report", "manual": "document", "misc": "document",
+    "unpublished": "manuscript", "patent": "patent", "online": "webpage", "electronic": "webpage", "webpage": "webpage", "software": "computerProgram",
+    "dataset": "document", "artwork": "artwork", "audio": "audioRecording", "video": "videoRecording", "letter": "letter", "standard": "document",
+    "periodical": "journalArticle", "collection": "book",
 }
 # CSL type -> item type.
 CSL_TYPES = {
-    "article-journal": "journalArticle", "article-magazine": "magazineArticle", "article-newspaper": "newspaperArticle", "book": "book", "chapter": "bookSection",
-    "paper-conference": "conferencePaper", "thesis": "thesis", "report": "report", "manuscript": "manuscript", "webpage": "webpage", "dataset": "dataset", "patent": "patent", "software": "computerProgram",
+    "article-journal": "journalArticle", "article-magazine": "magazineArticle", "article-newspaper": "newspaperArticle", "article": "preprint",
+    "book": "book", "chapter": "bookSection", "paper-conference": "conferencePaper", "thesis": "thesis", "report": "report", "webpage": "webpage",
+    "post-weblog": "blogPost", "post": "forumPost", "patent": "patent", "manuscript": "manuscript", "dataset": "dataset",
+    "entry-encyclopedia": "encyclopediaArticle", "entry-dictionary": "dictionaryEntry", "speech": "presentation", "interview": "interview",
+    "personal_communication": "letter", "broadcast": "radioBroadcast", "motion_picture": "film", "song": "audioRecording", "map": "map",
+    "legal_case": "case", "legislation": "statute", "bill": "bill", "software": "computerProgram", "figure": "artwork", "graphic": "artwork",
+    "pamphlet": "document", "review": "journalArticle", "review-book": "journalArticle", "treaty": "document", "journal-article": "journalArticle",
+    "proceedings-article": "conferencePaper", "book-chapter": "bookSection", "book-part": "bookSection", "book-section": "bookSection",
+    "reference-entry": "dictionaryEntry", "monograph": "book", "edited-book": "book", "reference-book": "book", "book-set": "book", "book-series": "book",
+    "book-track": "bookSection", "proceedings": "book", "proceedings-series": "book", "report-component": "report", "report-series": "report",
+    "dissertation": "thesis", "posted-content": "preprint", "journal-issue": "journalArticle", "journal-volume": "journalArticle",
+    "journal": "journalArticle", "database": "dataset", "standard": "standard", "component": "document", "grant": "document",
+    "peer-review": "document", "other": "document",
 }
 _ENTRY = re.compile(r"@\s*(\w+)\s*[{(]\s*([^,\s{}()]*)\s*,", re.IGNORECASE)
 _FIELD = re.compile(r"\s*([\w-]+)\s*=\s*")
