@@ -105,3 +105,18 @@ def first_seen(df: DataFrame, key: Column, pos: str) -> DataFrame:
     """Rows with the position at which their key was first given; ``repeat`` marks the later ones."""
     first = F.min(pos).over(Window.partitionBy(key))
     return df.withColumn("first_pos", first).withColumn("repeat", F.col(pos) != F.col("first_pos"))
+
+
+# Endings of files that are text.
+TEXT_FILES = ("txt", "md", "markdown", "rst", "csv", "tsv", "json", "xml", "vtt", "srt", "sbv", "log", "html", "htm")
+
+
+def artifact_kind(title: Column, filename: Column) -> Column:
+    """``fulltext``, ``ocr-pdf``, ``pdf`` or ``file`` by the words and the ending of a name; null for anything else."""
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", title, filename)), "[^a-z0-9]+", " ")), F.lit(" "))
+    has = lambda w: F.contains(words, F.lit(f" {w} "))
+    pdf = F.lower(filename).endswith(".pdf")
+    return (
+        F.when(~pdf & (has("fulltext") | has("full") & has("text")), "fulltext").when(pdf & has("ocr"), "ocr-pdf").when(pdf, "pdf")
+        .when(F.lower(filename).rlike(rf"\.({'|'.join(TEXT_FILES)})$"), "file")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import index_queries, library_queries, search_queries, text_queries  # noqa: F401  (they register)
+from lectern.plans import index_queries, library_queries, record_queries, search_queries, text_queries  # noqa: F401  (they register)
 from lectern.plans.registry import QUERIES, SQL, Query
 
 
