@@ -37,6 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lectern.session import materialize
 
@@ -273,14 +274,20 @@ def learn_nicknames(units: DataFrame, least: int = 3, share: float = 0.8, wide_f
         pairs.select(F.col("tokens")[1].alias("t"), F.col("tokens")[0].alias("o"))
     ).distinct()
     spread = ends.groupBy("t").agg(F.count("*").alias("n"))
-    seldom = ends.join(spread.where(F.col("n") >= least), "t").select(F.col("t").alias("short"), "o", F.col("n").alias("n_short"))
-    wide = ends.join(spread, "t").select(F.col("t").alias("name"), "o", F.col("n").alias("n_name"))
+    ends = materialize(ends.join(spread, "t"))
+    # a name with `share` of a short form's partners has one of its rarest ones: only those are looked up, so that a
+    # surname of very many given names is met by few of them
+    heat = ends.groupBy("o").agg(F.count("*").alias("heat"))
+    rarest = Window.partitionBy("t").orderBy("heat", "o")
+    first = ends.where(F.col("n") >= least).join(heat, "o").withColumn("place", F.row_number().over(rarest))
+    first = first.where(F.col("place") <= F.col("n") - F.ceil(F.lit(share) * F.col("n")) + 1).select(F.col("t").alias("short"), "o", F.col("n").alias("n_short"))
+    wide = ends.where(F.col("n") >= wide_from).select(F.col("t").alias("name"), "o", F.col("n").alias("n_name"))
+    near = first.join(wide, "o").where("short != name").where(F.col("n_name") >= 2 * F.col("n_short")).select("short", "name", "n_short", "n_name").distinct()
+    shared = near.join(ends.select(F.col("t").alias("short"), "o"), "short").join(wide.select("name", "o"), ["name", "o"], "left_semi")
     both = (
-        seldom.join(wide, "o").where("n_name > n_short and short != name")
-        .groupBy("short", "name", "n_short", "n_name")
+        shared.groupBy("short", "name", "n_short", "n_name")
         .agg(F.count("*").alias("both"), F.countDistinct(F.substring("o", 1, 2)).alias("heads"))
         .where((F.col("both") >= least) & (F.col("heads") >= 2) & (F.col("both") >= share * F.col("n_short")))
-        .where((F.col("n_name") >= wide_from) & (F.col("n_name") >= 2 * F.col("n_short")))
     )
     return both.groupBy("short").agg(F.max_by("name", F.struct("both", "n_name", "name")).alias("name"))
 
@@ -304,11 +311,11 @@ def recurring_slips(ends: DataFrame, spread: DataFrame, ratio: float = 4, share:
     return both.where(one_edit_udf("slip", "name")).select("slip", "name")
 
 
-def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, by label propagation with pointer jumping."""
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
     labels = materialize(nodes.select("node", F.col("node").alias("label")).distinct())
-    for _ in range(most_rounds):
+    while True:  # labels only fall, so it ends; jumping over labels halves what is left of a chain
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         up = step.select(F.col("node").alias("new"), F.col("new").alias("jump"))
@@ -317,7 +324,6 @@ def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 40) -> Data
         labels = after.select("node", "label")
         if not moved:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def name_classes(creators: DataFrame, nicknames: dict[str, str] | None = None) -> DataFrame:
@@ -390,8 +396,9 @@ def _attach_initials(parsed: DataFrame, classed: DataFrame, shape: list[str]) ->
     )
     home = near.groupBy("unit").agg(F.max_by("label", fit).alias("home"))
     # initials without a class of full names: one class for each surname and first initial
-    alone = weak.join(home, "unit", "left_anti").groupBy("surname", F.substring("initials", 1, 1).alias("letter")).agg(F.min("unit").alias("own"), F.collect_set("unit").alias("us"))
-    alone = alone.select("own", F.explode("us").alias("unit"))
+    left_over = weak.join(home, "unit", "left_anti").select("unit", "surname", F.substring("initials", 1, 1).alias("letter"))
+    own = left_over.groupBy("surname", "letter").agg(F.min("unit").alias("own"))
+    alone = left_over.join(own, ["surname", "letter"]).select("own", "unit")
     final = classed.join(home, "unit", "left").join(alone, "unit", "left").select(*shape, F.coalesce("home", "own", "label").alias("class_id"))
     return parsed.join(final, shape).select("creator_id", "class_id").distinct()
 

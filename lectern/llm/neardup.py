@@ -520,6 +520,14 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, key, links): one row a record: the key of its run set and to how many other texts it is linked."""
+    """(id, class_id, links): one row a record: the least id of all records it is linked to over any number of links,
+    and to how many other texts it is linked itself."""
+    from lectern.llm.names import connected
+
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-    return members.join(ends, "key", "left").select("id", "key", F.coalesce("links", F.lit(0)).alias("links"))
+    first = members.groupBy("key").agg(F.min("id").alias("first"))
+    edges = pairs.select("a", "b").join(first.select(F.col("key").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("key").alias("b"), F.col("first").alias("fb")), "b")
+    linked = edges.select(F.explode(F.array("fa", "fb")).alias("node")).distinct()
+    label = connected(linked, edges.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    named = first.join(label, first["first"] == label["node"], "left").select("key", F.coalesce("label", "first").alias("class_id"))
+    return members.join(named, "key").join(ends, "key", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))

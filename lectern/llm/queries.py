@@ -28,6 +28,17 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(_oversized(spark, d))
 
 
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of every cut record keep: the whole text, within the limit, with the exact overlap."""
+    limits = table(spark, d, "size_limits")
+    rows = splitting.pieces(_oversized(spark, d)).join(F.broadcast(limits), "field_name")  # two settings
+    size, fresh = F.col("end_char") - F.col("start_char"), F.col("end_char") - F.col("start_char") - F.col("overlap_chars")
+    return rows.groupBy("field_name", "record_key").agg(
+        (F.max("end_char") - F.min("start_char")).cast("bigint").alias("covered"), (F.sum(fresh) + F.max("overlap_chars")).cast("bigint").alias("fresh"),
+        F.bool_and((size <= F.col("max_chars")) & (F.length("piece") == size)).alias("fits"), (F.max("piece_no") == F.count("*")).alias("numbered"),
+    )
+
+
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized_records(table(spark, d, "zotero_items"), table(spark, d, "prepared_batches"), table(spark, d, "size_limits"))
 
@@ -53,7 +64,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     """One row an item at the library's usual setting: five words, similarity 0.8."""
     items = table(spark, d, "zotero_items").select(F.col("item_id").alias("id"), "title", "abstract")
-    return neardup.classes(*neardup.similar_pairs(items, threshold=0.8, words=5, least_words=30)).select(F.col("id").alias("item_id"), F.col("key").alias("class_id"), "links")
+    return neardup.classes(*neardup.similar_pairs(items, threshold=0.8, words=5, least_words=30)).select(F.col("id").alias("item_id"), "class_id", "links")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,8 +113,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
+_TEXTS_SQL = r"""
+            WITH limits AS (SELECT field_name, min(max_chars) AS m FROM size_limits GROUP BY field_name),
+            entries AS (
+                SELECT unnest(ids) AS record_key, unnest(documents) AS text, unnest(range(len(ids))) AS pos, batch_id, prepared_at
+                FROM prepared_batches),
+            latest AS (
+                SELECT record_key, text FROM entries
+                QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY prepared_at DESC NULLS LAST, batch_id DESC, pos DESC) = 1),
+            texts AS (
+                SELECT 'fulltext' AS field_name, item_key AS record_key, fulltext AS text FROM zotero_items
+                UNION ALL SELECT 'documents', record_key, text FROM latest)
+"""
+_LENGTH_SQL = r"""length(regexp_replace(regexp_replace(text,
+                '^[\s\v\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ''),
+                '[\s\v\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', ''))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_coverage": _TEXTS_SQL + f"SELECT field_name, record_key, max(n) AS covered, max(n) AS fresh, true AS fits, true AS numbered FROM (SELECT field_name, record_key, m, {_LENGTH_SQL} AS n FROM texts JOIN limits USING (field_name)) WHERE n > m GROUP BY ALL",
+        "p4_classes": r"""
+            WITH RECURSIVE t AS (SELECT item_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || abstract), '[\p{L}\p{N}]+') AS w
+                       FROM zotero_items WHERE abstract IS NOT NULL AND regexp_matches(abstract, '\S')),
+                 s AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM t WHERE len(w) >= 30),
+                 n AS (SELECT item_id, count(*) AS n, md5(string_agg(run, '|' ORDER BY run)) AS h FROM s GROUP BY item_id),
+                 c AS (SELECT a.item_id AS x, b.item_id AS y, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.item_id != b.item_id GROUP BY 1, 2),
+                 e AS (SELECT x, y, nb.h AS hy, na.h AS hx FROM c JOIN n na ON na.item_id = x JOIN n nb ON nb.item_id = y WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9),
+                 r AS (SELECT item_id AS id, item_id AS root FROM n UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.root),
+                 k AS (SELECT id, min(root) AS class_id FROM r GROUP BY id),
+                 l AS (SELECT x, count(DISTINCT hy) AS links FROM e WHERE hx != hy GROUP BY x)
+            SELECT id AS item_id, class_id, coalesce(links, 0) AS links FROM k LEFT JOIN l ON l.x = k.id
+        """,
         "p2_found": r"""
             WITH limits AS (SELECT field_name, min(max_chars) AS m FROM size_limits GROUP BY field_name),
             entries AS (

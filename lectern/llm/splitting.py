@@ -1,11 +1,11 @@
 """Cutting oversized texts at natural boundaries, with exact overlap.
 
 A text longer than its limit (code points, outer white space not counted) is cut
-by a recursive hierarchy of separators: sections, paragraphs, lines that end a
-sentence and sentences, words, characters. Pieces are packed greedily: each takes
+by a recursive hierarchy of separators: sections (pages, wide gaps, breaks before a
+heading), paragraphs, sentences, words, characters. Pieces are packed greedily: each takes
 as much as the limit allows and ends at the last boundary of the highest level
-that lies in reach; only where a level has no boundary in reach does the next
-finer one decide. Every piece but the first begins ``overlap`` characters before
+that leaves it at least half full; only where a level has none there does the next
+finer one decide, and only where no level has one a less full piece. Every piece but the first begins ``overlap`` characters before
 the end of the one before.
 
 Defined results
@@ -29,7 +29,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,12 +37,15 @@ from pyspark.sql import types as T
 LEVELS = tuple(
     re.compile(p)
     for p in (
-        r"\f+\s*|(?:\r?\n[^\S\r\n]*){3,}",  # pages, sections
+        # pages, sections, the break before a line that is a heading
+        r"\f+\s*|(?:\r?\n[^\S\r\n]*){3,}|(?:\r?\n[^\S\r\n]*){2,}(?=(?:\d+(?:\.\d+)*\.?[^\S\r\n]+)?[^\W\d_a-z][^\r\n.!?]{0,60}\r?\n)",
         r"(?:\r?\n[^\S\r\n]*){2,}",  # paragraphs
         r"[.!?…。！？][\"'”’»)\]]*\s+",  # sentences
         r"\s+",  # words
     )
 )
+#: Part of the room that a piece must fill before a coarse boundary is preferred to a finer one further on.
+FILL = 0.5
 SPANS = T.StructType([
     T.StructField("offset", T.IntegerType()),
     T.StructField("starts", T.ArrayType(T.IntegerType())),
@@ -66,12 +69,15 @@ def split_spans(text: str, max_chars: int, overlap: int) -> list[tuple[int, int]
     while last - start > max_chars:
         lo, hi = start + overlap, start + max_chars
         end = 0
-        for k, pattern in enumerate(LEVELS):
-            if cuts[k] is None:  # a finer level is scanned only once a coarser one fails
-                cuts[k] = [m.end() for m in pattern.finditer(text, first, last)]
-            at = bisect_right(cuts[k], hi) - 1
-            if at >= 0 and cuts[k][at] > lo:
-                end = cuts[k][at]
+        for least in (lo + int((hi - lo) * FILL), lo):
+            for k, pattern in enumerate(LEVELS):
+                if cuts[k] is None:  # a finer level is scanned only once a coarser one fails
+                    cuts[k] = [m.end() for m in pattern.finditer(text, first, last)]
+                at = bisect_right(cuts[k], hi) - 1
+                if at >= 0 and cuts[k][at] > least:
+                    end = cuts[k][at]
+                    break
+            if end:
                 break
         if not end:
             end = hi
@@ -145,11 +151,9 @@ def split_records(records: DataFrame) -> DataFrame:
 
 def pieces(records: DataFrame) -> DataFrame:
     """(field_name, record_key, piece_no, n_pieces, start_char, end_char, piece): the ordered pieces, one row each."""
-    spans = F.arrays_zip(F.col("spans.starts").alias("s"), F.col("spans.ends").alias("e"))
+    spans = F.zip_with("spans.starts", "spans.ends", lambda a, b: F.struct(a.alias("start_char"), b.alias("end_char")))
     rows = split_records(records).select("field_name", "record_key", "text", F.size("spans.starts").alias("n_pieces"), F.posexplode(spans).alias("piece_no", "span"))
-    start: Column = F.col("span.0") if "0" in rows.schema["span"].dataType.names else F.col("span.s")
-    end: Column = F.col("span.1") if "1" in rows.schema["span"].dataType.names else F.col("span.e")
     return rows.select(
-        "field_name", "record_key", (F.col("piece_no") + 1).alias("piece_no"), "n_pieces", start.alias("start_char"), end.alias("end_char"),
-        F.col("text").substr(start + 1, end - start).alias("piece"),
+        "field_name", "record_key", (F.col("piece_no") + 1).alias("piece_no"), "n_pieces", "span.start_char", "span.end_char",
+        F.col("text").substr(F.col("span.start_char") + 1, F.col("span.end_char") - F.col("span.start_char")).alias("piece"),
     )

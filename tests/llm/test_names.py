@@ -63,3 +63,13 @@ def test_nicknames_are_learned_and_lone_names_linked(spark):
     got = {r["creator_id"]: r["class_id"] for r in name_classes(spark.createDataFrame(rows, "creator_id bigint, first_name string, last_name string")).collect()}
     assert all(got[20 + i] == got[i] for i in range(4)) and got[40] == got[41] and got[42] != got[43]
     assert len({got[i] for i in range(8)}) == 8
+
+
+def test_a_surname_of_very_many_given_names(spark):
+    """A nickname is found though one of its surnames stands with hundreds of given names, and no other is taken for one."""
+    from lectern.llm.names import learn_nicknames
+
+    surnames = ["arnoldi", "bertram", "carlsen", "dorval", "ekman", "fontane", "grieg", "hansard", "iversen", "jansson"]
+    pairs = {("margaret", s) for s in [*surnames, "smith"]} | {("peggy", s) for s in [*surnames[:4], "smith"]} | {(f"given{i}q", "smith") for i in range(400)}
+    units = spark.createDataFrame([("person", sorted(p)) for p in pairs], "kind string, tokens array<string>")
+    assert {tuple(r) for r in learn_nicknames(units).collect()} == {("peggy", "margaret")}

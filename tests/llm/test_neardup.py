@@ -82,3 +82,12 @@ def test_shuffle_partitions_change_nothing(spark):
         got.append({tuple(r) for r in neardup.similar_pairs(df, 0.6, 3, 30)[0].collect()})
     spark.conf.set("spark.sql.shuffle.partitions", was)
     assert got[0] == got[1] and got[0]
+
+
+def test_classes_are_components(spark):
+    """A chain of texts, each near the next only, is one class; copies share it; others stand alone."""
+    w = [f"w{i}" for i in range(90)]
+    rows = [(10 + k, None, " ".join([*w[10 * k :], *[f"x{i}" for i in range(10 * k)]])) for k in range(3)] + [(5, None, " ".join(w)), (99, None, " ".join(f"y{i}" for i in range(60)))]
+    pairs, members = neardup.similar_pairs(spark.createDataFrame(rows, "id bigint, title string, abstract string"), 0.6, 3, 30)
+    got = {r["id"]: (r["class_id"], r["links"]) for r in neardup.classes(pairs, members).collect()}
+    assert {got[i][0] for i in (5, 10, 11, 12)} == {5} and got[99] == (99, 0) and got[11][1] == 2 and got[5] == got[10]

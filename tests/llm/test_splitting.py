@@ -30,6 +30,15 @@ def test_the_highest_boundary_in_reach_decides():
     assert len(split_spans("word " * 200_000, 4000, 300)) > 200
 
 
+def test_pieces_are_filled_before_a_coarse_boundary_counts():
+    """A section that ends just past the overlap doesn't make a tiny piece, and headings begin one."""
+    text = ("\f" + "word " * 30).join(["ab " * 4] * 20)
+    spans = split_spans(text, 100, 10)
+    assert len(spans) <= 1.6 * len(text) / 90 and all(b - a > 50 for a, b in spans[:-1])
+    text = "one two three.\n\n" + "four five six. " * 4 + "\n\nMethods\nseven eight. nine ten. " + "more " * 10
+    assert text[split_spans(text, 100, 0)[0][1] :].startswith("Methods")
+
+
 def test_records_of_both_fields(spark):
     items = spark.createDataFrame([("A", "x " * 30), ("B", None), ("C", "  " + "y" * 20 + " 　\f"), ("A", "x " * 30)], "item_key string, fulltext string")
     batches = spark.createDataFrame(
