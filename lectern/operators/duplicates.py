@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def duplicate_groups(items: DataFrame, keys: dict[str, Column], id_column: str = "item_id") -> DataFrame:
-    """(method, key, n, ids): items that share a non-empty key, for each kind of key.
-
-    One pass: each item is exploded to its keys and grouped once, whatever the number of kinds.
-    """
+def duplicate_members(items: DataFrame, keys: dict[str, Column], id_column: str = "item_id") -> DataFrame:
+    """(method, key, id): every item under each of its non-empty keys, once."""
     pairs = F.array(*[F.struct(F.lit(m).alias("method"), k.alias("key")) for m, k in keys.items()])
-    exploded = items.select(id_column, F.explode(pairs).alias("k")).select(id_column, "k.method", "k.key").where("key is not null and key != ''")
-    grouped = exploded.groupBy("method", "key").agg(F.countDistinct(id_column).alias("n"), F.array_sort(F.collect_set(id_column)).alias("ids"))
+    exploded = items.select(id_column, F.explode(pairs).alias("k")).select("k.method", "k.key", id_column)
+    return exploded.where(f"key is not null and key != '' and {id_column} is not null").distinct()
+
+
+def duplicate_groups(items: DataFrame, keys: dict[str, Column], id_column: str = "item_id") -> DataFrame:
+    """(method, key, n, first_id, last_id): keys that two or more items share. The members are rows of ``duplicate_members``:
+    a key that a third of all items share is a number here, never one large row."""
+    grouped = duplicate_members(items, keys, id_column).groupBy("method", "key").agg(F.count("*").alias("n"), F.min(id_column).alias("first_id"), F.max(id_column).alias("last_id"))
     return grouped.where("n >= 2")
 
 

@@ -47,8 +47,8 @@ def x_overlap(a: Column, b: Column) -> Column:
 
 
 def caption(text: Column) -> Column:
-    """(kind, number) of a caption line such as ``Figure 3.`` or ``Table 2:``; null otherwise."""
-    pattern = r"(?i)^\s*(fig(?:ure|\.)?|table|tab\.)\s*([0-9]+[a-z]?)\s*[.:]"
+    """(kind, number) of a line that begins as a caption: ``Figure 3.``, ``Fig. S2:``, ``Table 1b.``, ``Extended Data Fig. 4:``; null otherwise, as for a sentence about a figure."""
+    pattern = r"(?i)^\s*(?:extended\s+data\s+)?(figure|fig\.?|table)\s+([a-z]?[0-9]+[a-z]?)\s*[.:]\s"
     kind, number = F.lower(F.regexp_extract(text, pattern, 1)), F.regexp_extract(text, pattern, 2)
     return F.when(number != "", F.struct(F.when(kind.startswith("fig"), "figure").otherwise("table").alias("kind"), number.alias("number")))
 

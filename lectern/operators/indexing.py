@@ -104,27 +104,32 @@ def audit(records: DataFrame, items: DataFrame, record: str, parent: str, idx: s
     return reduce(DataFrame.unionByName, named)
 
 
-def bounded_batches(records: DataFrame, size: str, most_rows: int, most_bytes: int, order: str) -> DataFrame:
-    """Records with ``batch``: greedy files of at most so many rows and bytes, per partition; an oversized row is an error.
+def bounded_batches(records: DataFrame, size: str, most_rows: int, most_bytes: int, order: str, files: int = 64) -> DataFrame:
+    """Records with ``batch``: greedy files of at most so many rows and bytes; an oversized row is an error.
 
-    A running sum can't express the greedy reset, so each partition is scanned once;
-    batches of different partitions have different ids.
+    A running sum can't express the greedy reset, so records are dealt by a hash into shares of about
+    ``files`` files each, which follow from the volume, and each share is scanned once in order. Files and their
+    names depend on the records alone, whatever partitions they come in.
     """
+    total = records.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    shares = max(1, -(-max(total["bytes"] // most_bytes, total["rows"] // most_rows) // files))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        n, rows, total = 0, 0, 0
+        share, n, rows, volume = None, 0, 0, 0
         for frame in batches:
             ids = []
-            for s in frame[size]:
+            for own, s in zip(frame["_share"], frame[size], strict=True):
+                s = 0 if pd.isna(s) else int(s)
                 if s > most_bytes:
                     raise ValueError(f"a record of {s} bytes exceeds {most_bytes}")
-                if rows and (rows == most_rows or total + s > most_bytes):
-                    n, rows, total = n + 1, 0, 0
-                rows, total = rows + 1, total + int(s)
-                ids.append(f"{part}-{n}")
-            yield frame.assign(batch=ids)
-
-    return records.sortWithinPartitions(order).mapInPandas(of, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema) + ", batch string")
+                if own != share:
+                    share, n, rows, volume = own, 0, 0, 0
+                if rows and (rows == most_rows or volume + s > most_bytes):
+                    n, rows, volume = n + 1, 0, 0
+                rows, volume = rows + 1, volume + s
+                ids.append(f"{own}-{n}")
+            yield frame.drop(columns="_share").assign(batch=ids)
+
+    dealt = records.withColumn("_share", F.pmod(F.xxhash64(order), F.lit(shares)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema) + ", batch string"
+    return dealt.repartition(shares, "_share").sortWithinPartitions("_share", order).mapInPandas(of, schema)

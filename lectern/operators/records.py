@@ -152,3 +152,28 @@ def with_notices(items: DataFrame, notices: DataFrame, key: str) -> DataFrame:
 def in_order(lists: DataFrame, list_id: str, keys: str, works: DataFrame, key: str) -> DataFrame:
     """(list_id, pos, key, ...): the works of each list of keys in the order of the list; unknown keys are left out."""
     return lists.select(list_id, F.posexplode(keys).alias("pos", key)).join(works, key)
+
+
+# --- documents of other programs, addresses ------------------------------------------------------------------------------
+
+
+def structured_text(document: Column) -> Column:
+    """The plain text of a structured JSON document whose extraction is ok or complete; null otherwise."""
+    state = F.lower(F.coalesce(F.get_json_object(document, "$.status"), F.lit("")))
+    return F.when(state.isin("ok", "complete"), F.nullif(F.get_json_object(document, "$.structured.plain_text"), F.lit("")))
+
+
+def without_page_marks(markdown: Column) -> Column:
+    """Recognised text whose page comments are blank lines."""
+    return F.trim(F.regexp_replace(F.regexp_replace(markdown, r"(?i)<!--\s*page[^>]*-->", "\n\n"), r"\n{3,}", "\n\n"))
+
+
+def item_address(library_type: Column, library_id: Column, key: Column, base: str = "https://library.example") -> Column:
+    """Where an item is shown: under its group, or under the user's own library."""
+    return F.when(library_type == "group", F.concat(F.lit(f"{base}/groups/"), library_id.cast("string"), F.lit("/items/"), key)).otherwise(F.concat(F.lit(f"{base}/items/"), key))
+
+
+def existing_edges(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(src, dst, exists) for the asked edges, whichever way they stand."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("exists", F.lit(True))
+    return asked.join(both, ["src", "dst"], "left").select("src", "dst", F.coalesce("exists", F.lit(False)).alias("exists"))

@@ -78,10 +78,14 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return indexing.table_difference(now, old, "record_id", ["digest"])
 
 
-@query(_VERSIONS_SQL + "SELECT max(record_id) AS version, (SELECT count(*) FROM n WHERE record_id NOT IN (SELECT record_id FROM o)) AS missing, (SELECT count(*) FROM n WHERE record_id NOT IN (SELECT record_id FROM o)) = 0 AS may_advance FROM n")
+@query("""
+    WITH x AS (SELECT item_key, item_version FROM zotero_items WHERE item_id NOT IN (SELECT item_id FROM deleted_items)), p AS (SELECT DISTINCT split_part(unnest(ids), '#', 1) AS item_key FROM prepared_batches)
+    SELECT (SELECT max(item_version) FROM x) AS version, (SELECT count(*) FROM x WHERE item_key NOT IN (SELECT item_key FROM p)) AS missing, (SELECT count(*) FROM x WHERE item_key NOT IN (SELECT item_key FROM p)) = 0 AS may_advance
+""")
 def watermark_gate(spark: SparkSession, d: str) -> DataFrame:
-    now, old = _versions(spark, d)
-    return indexing.watermark(now, old, "record_id", "record_id")
+    """Whether the library's version may become the watermark: only once every item outside the trash has been prepared."""
+    items = table(spark, d, "zotero_items").join(table(spark, d, "deleted_items").select("item_id").distinct(), "item_id", "left_anti")
+    return indexing.watermark(items.select("item_key", "item_version"), _entries(spark, d).select("item_key"), "item_key", "item_version")
 
 
 @query(_ENTRIES_SQL + "SELECT record_id, batch_id, sha256(coalesce(text, '')) AS digest FROM l")
@@ -91,14 +95,15 @@ def prepared_state(spark: SparkSession, d: str) -> DataFrame:
     return live.select("record_id", "batch_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
 
 
-@query(_ENTRIES_SQL + ", x AS (SELECT item_key FROM zotero_items) SELECT record_id FROM l WHERE item_key IN (SELECT item_key FROM x WHERE item_key IN (SELECT item_key FROM l)) AND idx >= 2")
+@query(_ENTRIES_SQL + """
+    , live AS (SELECT DISTINCT record_id, item_key, idx FROM l), x AS (SELECT record_id, item_key FROM live WHERE idx < 2 AND item_key IN (SELECT item_key FROM zotero_items))
+    SELECT record_id FROM live WHERE item_key IN (SELECT item_key FROM x) AND record_id NOT IN (SELECT record_id FROM x)
+""")
 def stale_records(spark: SparkSession, d: str) -> DataFrame:
     """Records beyond the expected ones of items that were indexed anew."""
     live = _entries(spark, d).select("record_id", "item_key", "idx").distinct()
     expected = live.where("idx < 2").join(table(spark, d, "zotero_items").select("item_key"), "item_key", "left_semi")
-    whole = live.join(table(spark, d, "zotero_items").select("item_key"), "item_key", "left_semi").select("item_key").distinct()
-    touched = live.join(whole, "item_key", "left_semi")
-    return touched.join(expected.select("record_id"), "record_id", "left_anti").select("record_id")
+    return indexing.stale_records(live, expected, "item_key", "record_id").select("record_id")
 
 
 @query(_ENTRIES_SQL + """
@@ -158,10 +163,33 @@ def index_records(spark: SparkSession, d: str) -> DataFrame:
     return passages.index_records(items, "item_key", heading, F.col("fulltext")).drop("text")
 
 
-@query()
+_STRIPPED = r"regexp_replace(regexp_replace({c}, '^[\s\v\x1c-\x1f\x85\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ''), '[\s\v\x1c-\x1f\x85\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+$', '')"
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, coalesce(length({_STRIPPED.format(c='text')}), 0) AS n FROM documents)
+    SELECT doc_id, (CASE WHEN n = 0 THEN 0 WHEN n <= 600 THEN 1 ELSE ceil((n - 80) / 520.0) END)::BIGINT AS n, (n + CASE WHEN n > 600 THEN (ceil((n - 80) / 520.0) - 1) * 80 ELSE 0 END)::BIGINT AS chars, n::BIGINT AS covered, true AS fits FROM t
+""")
 def passage_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of every document: as few as the size allows, none too large, each but the first sharing exactly the overlap, all covering the whole text."""
     docs = table(spark, d, "documents").select("doc_id", passages.passages_of(F.col("text"), 600, 80).alias("p"))
-    return docs.select("doc_id", F.size("p").alias("n"), F.aggregate("p", F.lit(0), lambda s, x: s + x["end"] - x["start"]).alias("chars"))
+    total = F.aggregate("p", F.lit(0), lambda s, x: s + x["end"] - x["start"])
+    return docs.select(
+        "doc_id", F.size("p").cast("bigint").alias("n"), total.cast("bigint").alias("chars"),
+        F.coalesce(F.array_max(F.transform("p", lambda x: x["end"])) - F.array_min(F.transform("p", lambda x: x["start"])), F.lit(0)).cast("bigint").alias("covered"),
+        F.forall("p", lambda x: x["end"] - x["start"] <= 600).alias("fits"),
+    )
+
+
+@query(f"""
+    WITH t AS (SELECT item_key, length({_STRIPPED.format(c='fulltext')}) AS n, concat_ws(chr(10) || chr(10), trim(title, ' '), trim(abstract, ' ')) AS h FROM zotero_items)
+    SELECT item_key, (CASE WHEN trim(h, ' ') != '' THEN 1 ELSE 0 END + CASE WHEN coalesce(n, 0) = 0 THEN 0 WHEN n <= 1500 THEN 1 ELSE ceil((n - 200) / 1300.0) END)::BIGINT AS records, coalesce(n, 0)::BIGINT AS covered FROM t
+    WHERE trim(h, ' ') != '' OR coalesce(n, 0) > 0
+""")
+def index_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How many records each item has in the passage index, and how much of its text they cover."""
+    rows = index_records(spark, d)
+    return rows.groupBy("item_key").agg(F.count("*").alias("records"), F.coalesce(F.max("end_char") - F.min("start_char"), F.lit(0)).cast("bigint").alias("covered"))
 
 
 @query("""

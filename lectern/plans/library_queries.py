@@ -61,10 +61,11 @@ def collection_counts(spark: SparkSession, d: str) -> DataFrame:
     return library.counted(collections.select("collection_id", "collection_name"), bridge, "collection_id")
 
 
-@query("SELECT n_nationkey, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n FROM nation")
+@query("SELECT n_nationkey AS library_id, n_name, (SELECT count(*) FROM zotero_items WHERE library_id = n_nationkey) AS n FROM nation")
 def library_counts(spark: SparkSession, d: str) -> DataFrame:
-    nation, customer = _t(spark, d, "nation", "customer")
-    return library.counted(nation.select("n_nationkey", "n_name"), customer.withColumnRenamed("c_nationkey", "n_nationkey"), "n_nationkey")
+    """The number of items of every library; the names of libraries come from a dimension table."""
+    nation, items = _t(spark, d, "nation", "zotero_items")
+    return library.counted(nation.select(F.col("n_nationkey").alias("library_id"), "n_name"), items.withColumn("library_id", F.col("library_id").cast("int")), "library_id")
 
 
 @query("""
@@ -129,12 +130,15 @@ def tag_inventory(spark: SparkSession, d: str) -> DataFrame:
     return library.inventory(table(spark, d, "zotero_items"), F.transform(F.split("creators", ";"), lambda x: F.trim(x)))
 
 
-@query("SELECT collection_key, string_agg(item_key, ' ' ORDER BY added_at DESC, doc_id DESC) AS item_keys, count(*) AS n FROM (SELECT * FROM documents WHERE source = 'annotations' AND item_key IS NOT NULL AND trim(text) != '') GROUP BY collection_key")
+@query("""
+    SELECT collection_key, row_number() OVER (PARTITION BY collection_key ORDER BY added_at DESC NULLS LAST, doc_id DESC) AS place, doc_id, item_key
+    FROM documents WHERE source = 'annotations' AND item_key IS NOT NULL AND trim(text) != ''
+""")
 def annotation_digest(spark: SparkSession, d: str) -> DataFrame:
-    """Annotations that say something, grouped by collection, newest first."""
+    """Annotations that say something, by collection, newest first: a row each, so a collection of any size sorts and spills."""
     notes = table(spark, d, "documents").where("source = 'annotations' and item_key is not null and trim(text) != ''")
-    rows = notes.groupBy("collection_key").agg(F.sort_array(F.collect_list(F.struct("added_at", "doc_id", "item_key")), asc=False).alias("x"), F.count("*").alias("n"))
-    return rows.select("collection_key", F.array_join("x.item_key", " ").alias("item_keys"), "n")
+    newest = Window.partitionBy("collection_key").orderBy(F.col("added_at").desc_nulls_last(), F.col("doc_id").desc())
+    return notes.select("collection_key", F.row_number().over(newest).cast("bigint").alias("place"), "doc_id", "item_key")
 
 
 # --- hierarchy -------------------------------------------------------------------------------------------------
@@ -189,11 +193,21 @@ _TITLE_KEY_SQL = "regexp_replace(regexp_replace(regexp_replace(trim(regexp_repla
 @query(f"""
     WITH k AS (SELECT item_id, 'title' AS method, {_TITLE_KEY_SQL} AS key FROM zotero_items
                UNION ALL SELECT item_id, 'doi', lower(trim(doi, ' ')) FROM zotero_items)
-    SELECT method, key, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS ids FROM k WHERE key IS NOT NULL AND key != '' GROUP BY method, key HAVING count(DISTINCT item_id) >= 2
+    SELECT method, key, count(DISTINCT item_id) AS n, min(item_id) AS first_id, max(item_id) AS last_id FROM k WHERE key IS NOT NULL AND key != '' GROUP BY method, key HAVING count(DISTINCT item_id) >= 2
 """)
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    found = duplicates.duplicate_groups(table(spark, d, "zotero_items"), {"title": title_key(F.col("title")), "doi": F.lower(F.trim("doi"))})
-    return found.select("method", "key", "n", F.array_join("ids", ",").alias("ids"))
+    return duplicates.duplicate_groups(table(spark, d, "zotero_items"), {"title": title_key(F.col("title")), "doi": F.lower(F.trim("doi"))})
+
+
+@query(f"""
+    WITH k AS (SELECT DISTINCT item_id, {_TITLE_KEY_SQL} AS key FROM zotero_items)
+    SELECT key, item_id FROM k WHERE key != '' QUALIFY count(*) OVER (PARTITION BY key) >= 2
+""")
+def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    """The items of every group of equal titles, a row each."""
+    keys = {"title": title_key(F.col("title"))}
+    items = table(spark, d, "zotero_items")
+    return duplicates.duplicate_members(items, keys).join(duplicates.duplicate_groups(items, keys), ["method", "key"], "left_semi").select("key", "item_id")
 
 
 @query(f"""
@@ -341,7 +355,20 @@ def delete_collection(spark: SparkSession, d: str) -> DataFrame:
 def relation_edges(spark: SparkSession, d: str) -> DataFrame:
     tree = table(spark, d, "collections").where("parent_collection_id is not null")
     new = tree.select(F.lit("part_of").alias("predicate"), F.col("collection_id").alias("src"), F.col("parent_collection_id").alias("dst"))
-    return edits.add_relations(new.limit(0), new)
+    existing = new.where("src % 2 = 0")  # some of them, and their other direction, stand already
+    return edits.add_relations(edits.add_relations(existing.limit(0), existing), new)
+
+
+@query("""
+    WITH e AS (SELECT collection_id AS src, parent_collection_id AS dst FROM collections WHERE parent_collection_id IS NOT NULL),
+         b AS (SELECT DISTINCT src, dst FROM (SELECT * FROM e UNION ALL SELECT dst, src FROM e) WHERE src != dst), g AS (SELECT * FROM e WHERE src < 20)
+    SELECT 'part_of' AS predicate, src, dst FROM b WHERE NOT EXISTS (SELECT 1 FROM g WHERE (g.src = b.src AND g.dst = b.dst) OR (g.dst = b.src AND g.src = b.dst))
+""")
+def relation_removal(spark: SparkSession, d: str) -> DataFrame:
+    """Edges left after some were removed in both directions."""
+    tree = table(spark, d, "collections").where("parent_collection_id is not null")
+    new = tree.select(F.lit("part_of").alias("predicate"), F.col("collection_id").alias("src"), F.col("parent_collection_id").alias("dst"))
+    return edits.remove_relations(edits.add_relations(new.limit(0), new), new.where("src < 20"))
 
 
 @query("""

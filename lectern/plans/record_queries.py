@@ -521,3 +521,116 @@ def update_due(spark: SparkSession, d: str) -> DataFrame:
     """Collections not updated for a week."""
     last = table(spark, d, "collection_items").groupBy("collection_id").agg(F.max(F.coalesce("synced_at", "added_at")).alias("last_update"))
     return last.select("collection_id", "last_update", (F.datediff(F.lit("2026-01-01").cast("date"), F.col("last_update").cast("date")) >= 7).alias("due"))
+
+
+# --- further records ---------------------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT item_id, sha256(trim(regexp_replace(regexp_replace(replace(fulltext, chr(12), '<!-- Page 3 -->'), '(?i)<!--\\s*page[^>]*-->', chr(10) || chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS digest FROM zotero_items WHERE fulltext IS NOT NULL
+""")
+def ocr_markdown(spark: SparkSession, d: str) -> DataFrame:
+    marked = F.replace("fulltext", F.lit("\f"), F.lit("<!-- Page 3 -->"))
+    return table(spark, d, "zotero_items").where("fulltext is not null").select("item_id", F.sha2(records.without_page_marks(marked), 256).alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 != 2 AND text != '' THEN sha256(text) END AS digest FROM documents")
+def structured_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Plain texts read out of structured JSON, of which some are not complete."""
+    state = F.when(F.col("doc_id") % 3 == 0, "ok").when(F.col("doc_id") % 3 == 1, "Complete").otherwise("failed")
+    doc = F.to_json(F.struct(state.alias("status"), F.struct(F.col("text").alias("plain_text")).alias("structured")))
+    return table(spark, d, "documents").select("doc_id", F.sha2(records.structured_text(doc), 256).alias("digest"))
+
+
+@query("""
+    SELECT record_id FROM (SELECT DISTINCT unnest(ids) AS record_id FROM prepared_batches) WHERE split_part(record_id, '#', 1) NOT IN (SELECT item_key FROM zotero_items JOIN deleted_items USING (item_id))
+""")
+def delete_item_records(spark: SparkSession, d: str) -> DataFrame:
+    """The index after all records of trashed items are gone."""
+    from lectern.plans.index_queries import _entries
+
+    trash = table(spark, d, "zotero_items").join(table(spark, d, "deleted_items"), "item_id", "left_semi").select("item_key")
+    return _entries(spark, d).select("record_id", "item_key").distinct().join(trash, "item_key", "left_anti").select("record_id")
+
+
+@query("""
+    WITH u AS (SELECT parent_item_id AS item_id, min(nullif(title, '')) AS t, min(nullif(doi, '')) AS x FROM embedded_metadata GROUP BY 1)
+    SELECT item_id, coalesce(t, title) AS title, coalesce(x, doi) AS doi FROM zotero_items LEFT JOIN u USING (item_id)
+""")
+def update_item(spark: SparkSession, d: str) -> DataFrame:
+    """Items patched with the fields found in their attached pages; a field not found stays."""
+    from lectern.operators import indexing
+
+    found = table(spark, d, "embedded_metadata").groupBy(F.col("parent_item_id").alias("item_id")).agg(F.min(F.nullif("title", F.lit(""))).alias("title"), F.min(F.nullif("doi", F.lit(""))).alias("doi"))
+    return indexing.patch(table(spark, d, "zotero_items").select("item_id", "title", "doi"), found, "item_id", ["title", "doi"])
+
+
+@query("SELECT item_id FROM deleted_items UNION SELECT c.item_id FROM collection_items c JOIN zotero_items z USING (item_id) WHERE collection_id = 7")
+def delete_item(spark: SparkSession, d: str) -> DataFrame:
+    """The trash after the items of a collection went there; items that don't exist can't."""
+    going = table(spark, d, "collection_items").where("collection_id = 7").select("item_id").join(table(spark, d, "zotero_items"), "item_id", "left_semi")
+    return table(spark, d, "deleted_items").select("item_id").union(going).distinct()
+
+
+@query("""
+    SELECT item_key || '/note' AS note_key, item_key FROM zotero_items WHERE notes IS NOT NULL AND item_id NOT IN (SELECT item_id FROM deleted_items)
+    UNION ALL SELECT 'doc-' || doc_id, item_key FROM documents WHERE source = 'notes' AND item_key IS NOT NULL AND trim(text) != ''
+""")
+def notes_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The notes after those of trashed items were deleted and new ones created from texts."""
+    kept = library.outside_trash(table(spark, d, "zotero_items"), table(spark, d, "deleted_items")).where("notes is not null")
+    new = table(spark, d, "documents").where("source = 'notes' and item_key is not null and trim(text) != ''")
+    return kept.select(F.concat("item_key", F.lit("/note")).alias("note_key"), "item_key").union(new.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "item_key"))
+
+
+@query("SELECT batch_id, count(DISTINCT id) AS ids, min(id) AS first_id, max(id) AS last_id FROM (SELECT batch_id, unnest(ids) AS id FROM prepared_batches) GROUP BY batch_id")
+def inventory(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "prepared_batches").select("batch_id", F.explode("ids").alias("id"))
+    return rows.groupBy("batch_id").agg(F.countDistinct("id").alias("ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query("""
+    WITH e AS (SELECT collection_id AS src, parent_collection_id AS dst FROM collections WHERE parent_collection_id IS NOT NULL), b AS (SELECT DISTINCT * FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)),
+         q AS (SELECT a.collection_id AS src, c.collection_id AS dst FROM collections a JOIN collections c ON c.library_id = a.library_id AND a.collection_id != c.collection_id)
+    SELECT q.src, q.dst, b.src IS NOT NULL AS exists FROM q LEFT JOIN b ON b.src = q.src AND b.dst = q.dst
+""")
+def relation_exists(spark: SparkSession, d: str) -> DataFrame:
+    """Which collections of one library are parent and child, either way."""
+    collections = table(spark, d, "collections")
+    edges = collections.where("parent_collection_id is not null").select(F.col("collection_id").alias("src"), F.col("parent_collection_id").alias("dst"))
+    asked = collections.select("library_id", F.col("collection_id").alias("src")).join(collections.select("library_id", F.col("collection_id").alias("dst")), "library_id").where("src != dst").select("src", "dst")
+    return records.existing_edges(edges, asked)
+
+
+@query(f"""
+    WITH {_ALIASES_SQL}
+    SELECT attachment_key, coalesce(a.own, 'date') AS field, coalesce(trim(pub_date, ' '), '') AS shown FROM embedded_metadata m LEFT JOIN zotero_items i ON i.item_id = m.parent_item_id LEFT JOIN aliases a ON a.t = i.item_type AND a.g = 'date'
+""")
+def display_dates(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "zotero_items").select(F.col("item_id").alias("parent_item_id"), "item_type")
+    rows = table(spark, d, "embedded_metadata").join(items, "parent_item_id", "left")
+    return rows.select("attachment_key", F.coalesce(schema.typed_field(F.col("item_type"), F.lit("date")), F.lit("date")).alias("field"), F.coalesce(F.trim("pub_date"), F.lit("")).alias("shown"))
+
+
+@query(r"SELECT item_id, lower(regexp_replace(translate(replace(replace(replace(replace(replace(regexp_replace(title, '(\p{L})[-\x{ad}]\r?\n\s*(\p{Ll})', '\1\2', 'g'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '‘’“”‐‑‒–—―−', repeat(chr(39), 2) || repeat(chr(34), 2) || '-------'), '\s+', '', 'g')) AS folded FROM zotero_items WHERE title IS NOT NULL")
+def space_free_fold(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "zotero_items").where("title is not null").select("item_id", coercion.space_free(F.col("title")).alias("folded"))
+
+
+@query(r"SELECT attachment_key, trim(regexp_replace(lower(title), '\s+', ' ', 'g'), ' ') AS folded FROM embedded_metadata")
+def attachment_title_fold(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embedded_metadata").select("attachment_key", text.collapse(F.lower("title")).alias("folded"))
+
+
+@query("WITH " + _LIBRARIES_SQL + "SELECT item_id, CASE WHEN library_type = 'group' THEN 'https://library.example/groups/' || library_id || '/items/' || item_key ELSE 'https://library.example/items/' || item_key END AS url FROM zotero_items JOIN l USING (library_id)")
+def item_addresses(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "zotero_items").join(_libraries(spark, d).select("library_id", "library_type"), "library_id")
+    return rows.select("item_id", records.item_address(F.col("library_type"), F.col("library_id"), F.col("item_key")).alias("url"))
+
+
+@query("""
+    SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || 'm' WHEN s >= 60 THEN (s // 60) || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' WHEN s >= 0 THEN s || 's' END AS shown
+    FROM (SELECT event_id, (event_id * 37 % 9000 - 10)::BIGINT AS s FROM events)
+""")
+def eta_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", coercion.duration_text(F.col("event_id") * 37 % 9000 - 10).alias("shown"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.identifiers import instant_micros
 from lectern.functions.text import fold, search_variants, strip_tags
 from lectern.operators import library, predicates, vectors
 from lectern.operators.predicates import Condition, advanced_search, matches_values
@@ -20,7 +21,8 @@ def _fold_sql(c: str) -> str:
 
 
 def _newest() -> list:
-    return [F.col("date_modified").desc_nulls_last(), F.col("item_id").desc()]
+    """The latest in time first: times are written in several notations, so their text has no order."""
+    return [instant_micros("date_modified").desc_nulls_last(), F.col("item_id").desc()]
 
 
 @query("""
@@ -102,7 +104,7 @@ def multi_missing(spark: SparkSession, d: str) -> DataFrame:
     SELECT item_id FROM zotero_items
     WHERE contains({_fold_sql("concat_ws(' ', title, creators, date_added, abstract, extra, notes)")}, 'hand-written')
       AND item_id NOT IN (SELECT item_id FROM deleted_items)
-    ORDER BY date_modified DESC NULLS LAST, item_id DESC LIMIT 100
+    ORDER BY TRY_CAST(date_modified AS TIMESTAMP) DESC NULLS LAST, item_id DESC LIMIT 100
 """)
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     items = library.outside_trash(table(spark, d, "zotero_items"), table(spark, d, "deleted_items"))
@@ -195,13 +197,13 @@ def note_and_abstract_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT item_id, trim(regexp_extract(extra, '(?m)^Citation Key: *(.*)$', 1)) AS cite_key FROM zotero_items
-    WHERE regexp_extract(extra, '(?m)^Citation Key: *(.*)$', 1) != '' AND trim(regexp_extract(extra, '(?m)^Citation Key: *(.*)$', 1)) LIKE 'ck84%'
+    WHERE lower(trim(regexp_extract(extra, '(?m)^Citation Key: *(.*)$', 1))) IN ('ck8478', 'ck4457', 'ck2449', 'nosuchkey')
 """)
 def citation_key_search(spark: SparkSession, d: str) -> DataFrame:
     from lectern.functions.text import extra_value
 
     items = table(spark, d, "zotero_items").select("item_id", extra_value(F.col("extra"), "Citation Key", "citationkey").alias("cite_key"))
-    return items.where(F.col("cite_key").startswith("ck84"))
+    return items.where(F.lower("cite_key").isin("ck8478", "ck4457", "ck2449", "nosuchkey"))
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100")

@@ -19,7 +19,9 @@ def native_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "zotero_items").where("title is not null").select("item_id", text.fold(F.col("title")).alias("folded"))
 
 
-@query()
+@query("""
+    SELECT creator_id, replace(replace(replace(replace(replace(replace(replace(strip_accents(last_name), 'ß', 'ss'), 'ø', 'o'), 'Ø', 'O'), 'ł', 'l'), 'Ł', 'L'), 'æ', 'ae'), 'Æ', 'AE') AS folded FROM creators
+""")
 def ascii_fold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "creators").select("creator_id", text.ascii_fold("last_name").alias("folded"))
 
@@ -99,12 +101,19 @@ def identifier_isbn(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT event_id, '2401.' || lpad((event_id % 100000)::VARCHAR, 5, '0') || 'v2' AS arxiv FROM events
+    SELECT event_id, CASE event_id % 6 WHEN 0 THEN '2401.' || n || 'v2' WHEN 1 THEN '2401.' || n WHEN 2 THEN 'math.GT/03' || n WHEN 3 THEN '2401.' || n END AS arxiv
+    FROM (SELECT event_id, lpad((event_id % 100000)::VARCHAR, 5, '0') AS n FROM events)
 """)
 def identifier_arxiv(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events")
-    address = F.concat(F.lit("https://arxiv.org/abs/2401."), F.lpad((F.col("event_id") % 100000).cast("string"), 5, "0"), F.lit("v2"))
-    return events.select("event_id", text.arxiv_id(address).alias("arxiv"))
+    """Addresses, labels and both schemes of identifiers, and texts that only look like one."""
+    n = F.lpad((F.col("event_id") % 100000).cast("string"), 5, "0")
+    form = F.col("event_id") % 6
+    raw = (
+        F.when(form == 0, F.concat(F.lit("https://arxiv.org/abs/2401."), n, F.lit("v2"))).when(form == 1, F.concat(F.lit("arXiv:2401."), n))
+        .when(form == 2, F.concat(F.lit("arXiv:math.GT/03"), n)).when(form == 3, F.concat(F.lit("https://arxiv.org/pdf/2401."), n, F.lit(".pdf")))
+        .when(form == 4, F.concat(F.lit("version 12401."), n)).otherwise(F.concat(F.lit("2401-"), n))
+    )
+    return table(spark, d, "events").select("event_id", text.arxiv_id(raw).alias("arxiv"))
 
 
 @query("SELECT creator_id, CASE WHEN trim(coalesce(first_name, '')) != '' AND trim(coalesce(last_name, '')) != '' THEN trim(last_name) || ', ' || trim(first_name) ELSE trim(coalesce(last_name, '')) || trim(coalesce(first_name, '')) END AS name FROM creators")
@@ -156,31 +165,56 @@ def bibtex_render(spark: SparkSession, d: str) -> DataFrame:
     return items.select("item_id", citations.bibtex_of(F.col("item_type"), F.col("item_key"), F.col("title"), none, F.lit(None).cast("string"), F.col("doi")).alias("entry"))
 
 
-@query()
+_KEPT_TYPES = {"journalArticle": "journalArticle", "book": "book", "bookSection": "bookSection", "conferencePaper": "conferencePaper", "thesis": "thesis", "report": "report", "manuscript": "manuscript", "webpage": "webpage"}
+_SPACES = r"CASE WHEN {c} != '' THEN trim(regexp_replace({c}, '\s+', ' ', 'g')) END"
+
+
+@query(f"""
+    SELECT item_id AS source_id, CASE """ + " ".join(f"WHEN item_type = '{a}' THEN '{b}'" for a, b in _KEPT_TYPES.items()) + f""" ELSE 'document' END AS item_type, item_key AS cite_key, {_SPACES.format(c='title')} AS title,
+           nullif(regexp_extract(date_added, '(?:^|[^0-9])(1[0-9]{{3}}|2[01][0-9]{{2}})(?:[^0-9]|$)', 1), '') AS year, {_SPACES.format(c='doi')} AS doi, CASE WHEN coalesce(creators, '') = '' THEN 0 ELSE len(string_split(creators, '; ')) END::INT AS n_creators
+    FROM zotero_items WHERE item_key IS NOT NULL
+""")
 def bibtex_import(spark: SparkSession, d: str) -> DataFrame:
     """Round trip: every item rendered as BibTeX and read back."""
     items = table(spark, d, "zotero_items")
-    names = F.transform(F.split("creators", "; "), lambda x: x)
+    names = F.split("creators", "; ")
     entry = citations.bibtex_of(F.col("item_type"), F.col("item_key"), F.col("title"), names, text.publication_year(F.col("date_added")), F.col("doi"))
     return citations.read_bibtex(items.select("item_id", entry.alias("entry")), "item_id", "entry").select("source_id", "item_type", "cite_key", "title", "year", "doi", F.size("creators").alias("n_creators"))
 
 
-@query("SELECT item_id AS source_id, item_key AS csl_id, CASE item_type WHEN 'book' THEN 'book' ELSE 'journalArticle' END AS item_type, title, doi FROM zotero_items WHERE title IS NOT NULL AND doi IS NOT NULL")
+# one CSL type for each item type that has one
+_CSL_OF = {v: k for k, v in reversed(citations.CSL_TYPES.items())}
+
+
+@query("SELECT item_id AS source_id, item_key AS csl_id, CASE WHEN item_type IN (" + ", ".join(f"'{t}'" for t in _CSL_OF) + """) THEN item_type ELSE 'document' END AS item_type, title, doi, 'Journal of ' || item_key AS container,
+           coalesce(array_to_string([regexp_replace(trim(x, ' '), ' *, *', ', ') FOR x IN string_split(creators, ';')], '|'), '') AS creators,
+           nullif(regexp_extract(date_added, '(?:^|[^0-9])(1[0-9]{3}|2[01][0-9]{2})(?:[^0-9]|$)', 1), '') AS date FROM zotero_items
+""")
 def csl_import(spark: SparkSession, d: str) -> DataFrame:
-    """Items written as CSL JSON and read back."""
-    items = table(spark, d, "zotero_items").where("title is not null and doi is not null")
-    kind = F.when(F.col("item_type") == "book", "book").otherwise("article-journal")
-    doc = F.to_json(F.struct(F.col("item_key").alias("id"), kind.alias("type"), "title", F.col("doi").alias("DOI")))
-    return citations.read_csl(items.select("item_id", doc.alias("csl")), "item_id", "csl").select("source_id", "csl_id", "item_type", "title", "doi")
+    """Items of all types written as CSL JSON, with names, dates and containers, and read back."""
+    items = table(spark, d, "zotero_items")
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in _CSL_OF.items() for x in kv])[F.col("item_type")], F.lit("other"))
+    names = F.transform(F.split("creators", ";"), lambda x: F.when(F.contains(x, F.lit(",")), F.struct(F.trim(F.split(x, ",", 2)[0]).alias("family"), F.trim(F.split(x, ",", 2)[1]).alias("given"), F.lit(None).cast("string").alias("literal"))).otherwise(F.struct(F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("given"), F.trim(x).alias("literal"))))
+    year = text.publication_year(F.col("date_added"))
+    issued = F.when(year.isNotNull(), F.struct(F.array(F.array(year)).alias("date-parts")))
+    doc = F.to_json(F.struct(F.col("item_key").alias("id"), kind.alias("type"), "title", F.col("doi").alias("DOI"), F.concat(F.lit("Journal of "), "item_key").alias("container-title"), names.alias("author"), issued.alias("issued")))
+    back = citations.read_csl(items.select("item_id", doc.alias("csl")), "item_id", "csl")
+    return back.select("source_id", "csl_id", "item_type", "title", "doi", "container", F.coalesce(F.array_join("creators", "|"), F.lit("")).alias("creators"), "date")
 
 
-@query()
+@query(r"""
+    SELECT parent_item_id AS source_id, nullif(title, '') AS title, nullif(pub_date, '') AS date, nullif(rtrim(regexp_extract(doi, '10\.\d{4,9}/\S+'), '.,;)'), '') AS doi,
+           array_to_string(list_distinct([trim(concat_ws(' ', nullif(a.first_name, ''), a.last_name)) FOR a IN authors]).list_sort(), '|') AS authors FROM embedded_metadata
+""")
 def html_meta(spark: SparkSession, d: str) -> DataFrame:
-    """Pages built from the embedded metadata and read back through their meta tags."""
+    """Pages built from the embedded metadata, authors included, and read back through their meta tags."""
     pages = table(spark, d, "embedded_metadata")
-    tag = lambda n, c: F.concat(F.lit(f'<meta name="{n}" content="'), F.regexp_replace(c, '"', "&quot;"), F.lit('">'))
-    html = F.concat(F.lit("<html><head>"), tag("citation_title", F.col("title")), tag("citation_doi", F.col("doi")), tag("citation_date", F.col("pub_date")), F.lit("</head></html>"))
-    return citations.embedded_metadata(pages.select("parent_item_id", html.alias("html")), "parent_item_id", "html").drop("authors")
+    safe = lambda c: F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), '"', "&quot;")
+    tag = lambda n, c: F.concat(F.lit(f'<meta name="{n}" content="'), safe(c), F.lit('">'))
+    names = F.transform("authors", lambda a: tag("citation_author", F.trim(F.concat_ws(" ", F.nullif(a["first_name"], F.lit("")), a["last_name"]))))
+    html = F.concat(F.lit("<html><head>"), tag("citation_title", F.col("title")), tag("citation_doi", F.col("doi")), tag("citation_date", F.col("pub_date")), F.array_join(names, ""), F.lit("</head></html>"))
+    back = citations.embedded_metadata(pages.select("parent_item_id", html.alias("html")), "parent_item_id", "html")
+    return back.select("source_id", "title", F.nullif("date", F.lit("")).alias("date"), "doi", F.array_join(F.array_sort("authors"), "|").alias("authors"))
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -215,13 +249,18 @@ def caption_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, CASE WHEN kind LIKE 'fig%' THEN 'figure' ELSE 'table' END AS kind, number FROM (
-      SELECT doc_id, lower(regexp_extract('Figure ' || doc_id || '. ' || text, '(?i)^\\s*(fig(?:ure|\\.)?|table|tab\\.)\\s*([0-9]+[a-z]?)\\s*[.:]', 1)) AS kind,
-             regexp_extract('Figure ' || doc_id || '. ' || text, '(?i)^\\s*(fig(?:ure|\\.)?|table|tab\\.)\\s*([0-9]+[a-z]?)\\s*[.:]', 2) AS number FROM documents)
+    SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'figure' WHEN 1 THEN 'figure' WHEN 2 THEN 'table' WHEN 3 THEN 'figure' END AS kind,
+           CASE doc_id % 6 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN 'S' || doc_id WHEN 2 THEN doc_id || 'b' WHEN 3 THEN doc_id::VARCHAR END AS number FROM documents WHERE text IS NOT NULL
 """)
 def caption_parse(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat(F.lit("Figure "), F.col("doc_id").cast("string"), F.lit(". "), F.col("text"))
-    return table(spark, d, "documents").select("doc_id", geometry.caption(line).alias("c")).select("doc_id", "c.kind", "c.number")
+    """Captions in their usual forms ahead of each text, and sentences that only mention a figure."""
+    n, form = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    head = (
+        F.when(form == 0, F.concat(F.lit("Figure "), n, F.lit(". "))).when(form == 1, F.concat(F.lit("Fig. S"), n, F.lit(": "))).when(form == 2, F.concat(F.lit("TABLE "), n, F.lit("b. ")))
+        .when(form == 3, F.concat(F.lit("Extended Data Fig "), n, F.lit(" : "))).when(form == 4, F.concat(F.lit("Figure "), n, F.lit(" shows "))).otherwise(F.lit("See Table 2. "))
+    )
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", geometry.caption(F.concat(head, "text")).alias("c")).select("doc_id", "c.kind", "c.number")
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
