@@ -117,6 +117,15 @@ def grouped_support(hits: DataFrame, within: float = 0.15, weights: tuple[float,
     return hits.select(*columns).groupBy("label").applyInPandas(_supports(within, weights, cap), "label int, score double, n_support int")
 
 
+def rerank(hits: DataFrame, score: Column, k: int, keep: int, first: str = "similarity", tiebreak: str = "vec_id") -> DataFrame:
+    """The ``keep`` best of the first ``k`` hits by a second score: any Column, a ``pandas_udf`` of a model included.
+
+    Only the rows that the first stage leaves are scored again, so a dear scorer runs on ``k`` rows and no more.
+    """
+    stage = top_k(hits, k, first, tiebreak).withColumn("second_score", score)
+    return top_k(stage, keep, "second_score", tiebreak)
+
+
 # --- sets of queries -------------------------------------------------------------------------------------------
 
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192  # rows

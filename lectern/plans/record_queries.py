@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import coercion, schema, text
 from lectern.functions.identifiers import doi_key
-from lectern.operators import batches, library, passages, records
+from lectern.operators import batches, library, passages, records, vectors
 from lectern.plans.index_queries import _VERSIONS_SQL, _versions
 from lectern.plans.registry import query
 from lectern.sources.tables import table
@@ -634,3 +634,44 @@ def item_addresses(spark: SparkSession, d: str) -> DataFrame:
 """)
 def eta_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", coercion.duration_text(F.col("event_id") * 37 % 9000 - 10).alias("shown"))
+
+
+_HITS_SQL = """
+    h AS (SELECT doc_id, item_key, n_chars, (length(lower(text)) - length(replace(lower(text), 'harbour', ''))) // 7 AS hits FROM documents WHERE contains(lower(text), 'harbour')),
+    f AS (SELECT * FROM h ORDER BY hits DESC, doc_id LIMIT 200)
+"""
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    low = F.lower("text")
+    n = F.floor((F.length(low) - F.length(F.replace(low, F.lit("harbour"), F.lit("")))) / 7)
+    return table(spark, d, "documents").where(F.contains(low, F.lit("harbour"))).select("doc_id", "item_key", "n_chars", n.cast("bigint").alias("hits"))
+
+
+@query("WITH " + _HITS_SQL + "SELECT doc_id, hits, round(hits / (1 + n_chars / 1000.0), 9) AS second_score FROM f ORDER BY second_score DESC, doc_id LIMIT 20")
+def rerank_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 texts with most hits of a word, the 20 densest of them on top."""
+    return vectors.rerank(_hits(spark, d), F.round(F.col("hits") / (1 + F.col("n_chars") / 1000.0), 9), 200, 20, "hits", "doc_id").select("doc_id", "hits", "second_score")
+
+
+@query("WITH " + _HITS_SQL + "SELECT f.doc_id, f.hits, z.item_id, z.title, z.creators FROM f LEFT JOIN zotero_items z ON z.item_key = f.item_key")
+def hit_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked hits joined with their items at query time; a hit without one is kept."""
+    items = table(spark, d, "zotero_items").select("item_key", "item_id", "title", "creators")
+    return vectors.top_k(_hits(spark, d), 200, "hits", "doc_id").join(items, "item_key", "left").select("doc_id", "hits", "item_id", "title", "creators")
+
+
+@query("""
+    WITH m AS (SELECT attachment_key, nullif(publication, '') AS venue, nullif(substr(pub_date, 1, 4), '') AS y FROM embedded_metadata),
+    e AS (SELECT a.attachment_key AS src, b.attachment_key AS dst FROM m a JOIN m b ON a.venue = b.venue AND a.y < b.y AND a.y::INT + 1 = b.y::INT WHERE regexp_full_match(a.y, '[0-9]{4}') AND regexp_full_match(b.y, '[0-9]{4}'))
+    SELECT k.attachment_key, coalesce(o, 0) AS references_made, coalesce(i, 0) AS cited_by FROM embedded_metadata k LEFT JOIN (SELECT src, count(*) AS o FROM e GROUP BY src) x ON x.src = k.attachment_key LEFT JOIN (SELECT dst, count(*) AS i FROM e GROUP BY dst) y ON y.dst = k.attachment_key
+""")
+def citation_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Out- and in-edges of every work; a work stands for a reference of the next year's works in its journal."""
+    works = table(spark, d, "embedded_metadata").select("attachment_key", F.nullif("publication", F.lit("")).alias("venue"), F.substring("pub_date", 1, 4).alias("y")).where(F.col("y").rlike("^[0-9]{4}$"))
+    # counted by journal and year, so no pair of works is ever enumerated
+    size = works.groupBy("venue", F.col("y").cast("int").alias("y")).agg(F.count("*").alias("n"))
+    step = lambda by, name: size.select("venue", (F.col("y") + by).alias("y"), F.col("n").alias(name))
+    own = works.select("attachment_key", "venue", F.col("y").cast("int").alias("y")).join(step(-1, "after"), ["venue", "y"], "left").join(step(1, "before"), ["venue", "y"], "left")
+    rows = table(spark, d, "embedded_metadata").select("attachment_key").join(own, "attachment_key", "left")
+    return rows.select("attachment_key", F.coalesce("after", F.lit(0)).alias("references_made"), F.coalesce("before", F.lit(0)).alias("cited_by"))
